@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drayline.operators.merge import has_null_key
+from drayline.session import local_rows
 
 MATCH, MISMATCH = "MATCH", "MISMATCH"
 
@@ -166,7 +167,7 @@ COLUMN_SCHEMA = "column_name string, data_type string, is_nullable boolean"
 
 def schema_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """Column names, types with their arguments, and nullability. Only metadata."""
-    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in schema], COLUMN_SCHEMA)
+    return local_rows(spark, [(f.name, f.dataType.simpleString(), f.nullable) for f in schema], COLUMN_SCHEMA)
 
 
 def schema_diff(spark: SparkSession, source: T.StructType, target: T.StructType) -> DataFrame:

@@ -17,7 +17,7 @@ from drayline.functions.types import Field
 from drayline.functions.windows import date_window, int_date_window, make_window, scd2_window, window_and_where
 from drayline.operators import merge, profile, projection, reconcile, summary
 from drayline.plans import jobs
-from drayline.session import is_local, table_path, workspace
+from drayline.session import is_local, local_rows, table_path, workspace
 from drayline.sources import files, jdbc
 from drayline.sources.keyed import HashBuckets, KeyedTable
 from drayline.sources.snapshots import SnapshotTable
@@ -349,11 +349,11 @@ def snapshot_append(spark, sf):
 )
 def file_rolling(spark, sf):
     path = workspace(spark, "rolled")
-    files.write_parquet(table(spark, sf, "lineitem"), path, max_records_per_file=1000)
+    files.write_parquet(table(spark, sf, "lineitem"), path, max_records_per_file=25_000)
     return files.file_stats(spark, path).agg(
         F.sum("record_count").alias("total_rows"),
-        (F.max("record_count") <= 1000).alias("within_limit"),
-        (F.count(F.lit(1)) >= F.ceil(F.sum("record_count") / 1000)).alias("several_files"),
+        (F.max("record_count") <= 25_000).alias("within_limit"),
+        (F.count(F.lit(1)) >= F.ceil(F.sum("record_count") / 25_000)).alias("several_files"),
     )
 
 
@@ -1089,7 +1089,8 @@ def transfer_counts(spark, sf):
     into = database_table(db, customer, "customer_copy", empty=True)
     selection = jobs.Selection(where="c_acctbal > 0")
     done = jobs.transfer_table(customer, workspace(spark, "transfer"), "2024-03-07", db, into, selection, key=["c_custkey"])
-    return spark.createDataFrame(
+    return local_rows(
+        spark,
         [(done.rows_extracted, done.rows_loaded, done.source_count, done.dest_count, done.counts_match)],
         "rows_extracted long, rows_loaded long, source_count long, dest_count long, counts_match boolean",
     )

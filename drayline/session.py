@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app_name: str = "drayline", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -67,3 +70,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def table_path(folder: str, table: str) -> str:
     return os.path.join(folder, f"{table}.parquet")
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows of metadata as a frame. They go over as Arrow, so no Python worker is started to read them."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)

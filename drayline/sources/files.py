@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from drayline.functions.scalars import date_parts, iso_text
 from drayline.functions.types import Field, canonical
 from drayline.functions.windows import Day, as_day
+from drayline.session import path_exists
 
 # Codecs a Parquet sink accepts.
 CODECS = ("snappy", "gzip", "none")
@@ -23,6 +24,8 @@ DAY_COLUMNS = ("year", "month", "day")
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A missing path is an error. With a schema no file is opened while planning."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(path)
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from drayline.operators.projection import align
 from drayline.schemas import COMMITS
+from drayline.session import local_rows
 from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, files_and_bytes, write_parquet
 from drayline.sources.ledger import Ledger
 
@@ -40,22 +41,22 @@ class SnapshotTable:
     def exists(self) -> bool:
         return self.ledger.sequence() > 0
 
-    def commits(self) -> DataFrame:
-        return self.ledger.read(self._known_sequence())
+    def find_head(self) -> Row | None:
+        """The commit in force, or None when there is no table."""
+        return self.ledger.greatest("snapshot_id")
 
     def head(self) -> Row:
-        """The commit in force."""
-        return self.commits().orderBy(F.desc("snapshot_id")).first()
+        head = self.find_head()
+        if head is None:
+            raise ValueError(f"no snapshot table at {self.path}")
+        return head
+
+    def commits(self) -> DataFrame:
+        return self.ledger.read(self.head().state_seq)
 
     def schema(self) -> T.StructType:
         return _schema(self.head())
 
-    def _known_sequence(self) -> int:
-        sequence = self.ledger.sequence()
-        if sequence == 0:
-            raise ValueError(f"no snapshot table at {self.path}")
-        return sequence
-
     # --- writes --------------------------------------------------------------------------------
 
     def create(self, df: DataFrame, txn: str | None = None, metrics: dict | None = None, **how) -> Appended:
@@ -64,7 +65,7 @@ class SnapshotTable:
             raise ValueError(f"a snapshot table already exists at {self.path}")
         if not df.columns:
             raise ValueError("a snapshot table needs at least one column")
-        appended = self._write(df, None, 0, txn, metrics or {}, **how)
+        appended = self._write(df, None, txn, metrics or {}, **how)
         if appended.snapshot_id is None:
             raise ValueError("a snapshot table needs at least one row")
         return appended
@@ -75,23 +76,24 @@ class SnapshotTable:
         ``txn`` names the batch: appending the one already at the head changes nothing, so retries are safe.
         ``metrics`` are further aggregates to take of the rows while they are written, returned as text.
         """
-        sequence = self._known_sequence()
-        head = self.head()
-        if txn is not None and head.txn == txn:
-            return Appended(head.snapshot_id, head.rows_added, {})
-        return self._write(align(df, _schema(head)), head, sequence, txn, metrics or {}, **how)
+        return self._append(self.head(), df, txn, metrics, **how)
 
     def append_or_create(self, df: DataFrame, txn: str | None = None, metrics: dict | None = None, **how) -> Appended:
         """For repeated runs: the first batch with rows creates the table."""
-        if self.exists():
-            return self.append(df, txn, metrics, **how)
-        return self._write(df, None, 0, txn, metrics or {}, **how)
+        head = self.find_head()
+        if head is not None:
+            return self._append(head, df, txn, metrics, **how)
+        return self._write(df, None, txn, metrics or {}, **how)
+
+    def _append(self, head: Row, df: DataFrame, txn: str | None, metrics: dict | None, **how) -> Appended:
+        if txn is not None and head.txn == txn:
+            return Appended(head.snapshot_id, head.rows_added, {})
+        return self._write(align(df, _schema(head)), head, txn, metrics or {}, **how)
 
     def _write(
         self,
         df: DataFrame,
         head: Row | None,
-        sequence: int,
         txn: str | None,
         metrics: dict,
         max_records_per_file: int = MAX_RECORDS_PER_FILE,
@@ -121,9 +123,10 @@ class SnapshotTable:
             txn=txn,
         )
         fields = T.StructType([f for f in COMMITS.fields if f.name != "committed_at"])
-        row = self.spark.createDataFrame([tuple(commit[n] for n in fields.names)], fields)
+        row = local_rows(self.spark, [tuple(commit[n] for n in fields.names)], fields)
         row = row.withColumn("committed_at", F.current_timestamp()).select(COMMITS.names)
-        self.ledger.replace(self.ledger.read(sequence).unionByName(row) if sequence else row, sequence)
+        sequence = head.state_seq if head else 0
+        self.ledger.replace(self.ledger.read(sequence).unionByName(row) if head else row, sequence)
         return Appended(snapshot_id, rows, taken)
 
     # --- reads ---------------------------------------------------------------------------------
