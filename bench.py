@@ -98,8 +98,9 @@ def main() -> None:
         into = catalog.database_table(db, like, "out", empty=True)
 
         def run():
-            folder, _ = jobs.to_parquet(jdbc.read_table(spark, db, source, split), workspace(spark, "bench"), "2024-03-07")
-            jdbc.append_rows(files.read_parquet(spark, folder), db, into)
+            rows = jdbc.read_table(spark, db, source, split)
+            folder, _ = jobs.to_parquet(rows, workspace(spark, "bench"), "2024-03-07")
+            jdbc.append_rows(files.read_parquet(spark, folder, rows.schema), db, into)
 
         return run
 

@@ -63,9 +63,25 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/drayline/{label}-{uuid.uuid4().hex}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop_path = _hadoop(spark, path)
+    return system.exists(hadoop_path)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a small folder; none when it does not exist."""
+    system, hadoop_path = _hadoop(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, hadoop_path = _hadoop(spark, path)
+    system.delete(hadoop_path, True)
 
 
 def table_path(folder: str, table: str) -> str:

@@ -43,7 +43,7 @@ class SnapshotTable:
 
     def find_head(self) -> Row | None:
         """The commit in force, or None when there is no table."""
-        return self.ledger.greatest("snapshot_id")
+        return self.ledger.greatest("snapshot_id", self.ledger.sequence())
 
     def head(self) -> Row:
         head = self.find_head()
@@ -52,7 +52,10 @@ class SnapshotTable:
         return head
 
     def commits(self) -> DataFrame:
-        return self.ledger.read(self.head().state_seq)
+        sequence = self.ledger.sequence()
+        if sequence == 0:
+            raise ValueError(f"no snapshot table at {self.path}")
+        return self.ledger.read(sequence)
 
     def schema(self) -> T.StructType:
         return _schema(self.head())
@@ -125,8 +128,9 @@ class SnapshotTable:
         fields = T.StructType([f for f in COMMITS.fields if f.name != "committed_at"])
         row = local_rows(self.spark, [tuple(commit[n] for n in fields.names)], fields)
         row = row.withColumn("committed_at", F.current_timestamp()).select(COMMITS.names)
-        sequence = head.state_seq if head else 0
-        self.ledger.replace(self.ledger.read(sequence).unionByName(row) if head else row, sequence)
+        # A ledger state per commit: its number is the number of the newest snapshot.
+        before = head.snapshot_id if head else 0
+        self.ledger.replace(self.ledger.read(before).unionByName(row), before)
         return Appended(snapshot_id, rows, taken)
 
     # --- reads ---------------------------------------------------------------------------------
