@@ -10,6 +10,8 @@ from drayline.functions.scalars import contains_ci
 from drayline.functions.types import Field, canonical, required_default
 from drayline.functions.windows import window_and_where
 
+SINGLE_TASK_ROWS = 1_000_000
+
 
 def extract(
     df: DataFrame,
@@ -57,11 +59,29 @@ def to_utc(column: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), column)
 
 
-def row_limit(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
-    """Any ``n`` rows, or the first ``n`` in an order."""
+def row_limit(df: DataFrame, n: int, order_by: list[str] | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """Any ``n`` rows, or the first ``n`` in an order.
+
+    A plain limit ends in one task, which is right for a small ``n``. Beyond ``single_task_rows`` any ``n`` rows
+    are taken in place instead: the rows of each partition are counted, and a cut through the row ids then keeps
+    exactly ``n`` without moving one. That counts the input once more, and needs rows that come from a scan
+    (whose partitions are the same both times) rather than from a shuffle.
+    """
     if n <= 0:
         raise ValueError("a row limit must be positive")
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+    if order_by:
+        return df.orderBy(*order_by).limit(n)
+    if n <= single_task_rows:
+        return df.limit(n)
+    counts = df.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()
+    left = n
+    for part in counts:
+        if part["count"] >= left:
+            # Row ids hold the partition above bit 33 and the row's position below.
+            cut = (part["p"] << 33) + left
+            return df.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") < cut).drop("_row")
+        left -= part["count"]
+    return df
 
 
 def ordered(df: DataFrame, by: list[Column]) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Database tables over JDBC. The database runs filters, limits and counts; Spark parallelises the rows."""
+"""Database tables over JDBC.
+
+Tables are read through a JDBC catalog, so filters, counts, minima and, where the dialect has them, limits and
+top-n run inside the database. Spark parallelises the rows.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass, field
 
@@ -27,8 +32,16 @@ class Database:
         named = {"url": self.url, "preferTimestampNTZ": "true", "fetchsize": str(BATCH_ROWS), **self.options}
         return {**named, "driver": self.driver} if self.driver else named
 
-    def reader(self, spark: SparkSession):
-        return spark.read.format("jdbc").options(**self.reader_options())
+    def catalog(self, spark: SparkSession) -> str:
+        """Name of the session's catalog of this database, registered on first use."""
+        options = self.reader_options()
+        name = "drayline_" + hashlib.sha256(repr(sorted(options.items())).encode()).hexdigest()[:16]
+        prefix = f"spark.sql.catalog.{name}"
+        if spark.conf.get(prefix, None) is None:
+            for key, value in options.items():
+                spark.conf.set(f"{prefix}.{key}", value)
+            spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+        return name
 
 
 @dataclass(frozen=True)
@@ -44,28 +57,31 @@ def quoted(name: str) -> str:
 
 
 def read_table(spark: SparkSession, db: Database, table: str, split: Split | None = None) -> DataFrame:
-    """The whole table. With a split, its bounds are asked of the database and the parts are read in parallel.
+    """The whole table (``TABLE`` or ``SCHEMA.TABLE``). With a split, the parts are read in parallel.
 
-    Bounds only place the cuts; rows outside them, and NULLs, still arrive with the first or last part.
+    The bounds are asked of the database. They only place the cuts; rows outside them, and NULLs, still arrive
+    with the first or last part.
     """
-    reader = db.reader(spark).option("dbtable", table)
+    name = ".".join(f"`{part}`" for part in [db.catalog(spark), *table.split(".")])
+    whole = spark.table(name)
     if split is None or split.parts <= 1:
-        return reader.load()
-    c = quoted(split.column)
-    low, high = read_query(spark, db, f"SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM {table}").first()
+        return whole
+    bounds = whole.agg(F.min(split.column).cast("string"), F.max(split.column).cast("string"))
+    low, high = bounds.first()
     if low is None:
-        return reader.load()
+        return whole
     return (
-        reader.option("partitionColumn", split.column)
-        .option("lowerBound", str(low))
-        .option("upperBound", str(high))
+        spark.read.option("partitionColumn", split.column)
+        .option("lowerBound", low)
+        .option("upperBound", high)
         .option("numPartitions", split.parts)
-        .load()
+        .table(name)
     )
 
 
 def read_query(spark: SparkSession, db: Database, sql: str) -> DataFrame:
-    return db.reader(spark).option("query", sql).load()
+    """Rows of the caller's own SELECT, which runs in the database."""
+    return spark.read.format("jdbc").options(**db.reader_options()).option("query", sql).load()
 
 
 def read_slices(spark: SparkSession, db: Database, table: str, predicates: list[str]) -> DataFrame:
@@ -76,10 +92,8 @@ def read_slices(spark: SparkSession, db: Database, table: str, predicates: list[
 
 def count_rows(spark: SparkSession, db: Database, table: str, where: str | None = None) -> DataFrame:
     """The count, taken inside the database."""
-    tail = f" WHERE ({where})" if where else ""
-    return read_query(spark, db, f"SELECT COUNT(*) AS row_count FROM {table}{tail}").select(
-        F.col("row_count").cast("long").alias("row_count")
-    )
+    rows = read_table(spark, db, table)
+    return (rows.where(where) if where else rows).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def _writer(df: DataFrame, db: Database, table: str, text_length: int, parts: int | None):
@@ -99,9 +113,9 @@ def append_rows(df: DataFrame, db: Database, table: str, text_length: int = 4000
     _writer(df, db, table, text_length, parts).mode("append").save()
 
 
-def append_new_rows(df: DataFrame, db: Database, table: str, key: list[str], **how) -> None:
+def append_new_rows(df: DataFrame, db: Database, table: str, key: list[str], split: Split | None = None, **how) -> None:
     """Append only rows whose key the table lacks; a rerun after a partial load completes it."""
-    present = db.reader(df.sparkSession).option("dbtable", table).load().select(*key)
+    present = read_table(df.sparkSession, db, table, split).select(*key)
     append_rows(df.join(present, key, "left_anti"), db, table, **how)
 
 

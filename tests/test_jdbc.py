@@ -20,14 +20,22 @@ def test_parallel_scan_is_complete_and_pushes_filters(spark, db, plan):
     assert read.rdd.getNumPartitions() == 4
     assert read.count() == 1000 and read.where("k is null").count() == 100
     text = plan(read.where("v > 500"))
-    assert "*GreaterThan(v,500)" in text
+    assert "PushedFilters: [v IS NOT NULL, v > 500]" in text
+
+
+def test_counts_run_in_the_database(spark, db, people, plan):
+    counted = jdbc.count_rows(spark, db, "PEOPLE", "Age > 26")
+    assert "PushedAggregates: [COUNT(*)]" in plan(counted) and "Age > 26" in plan(counted)
+    in_parts = jdbc.read_table(spark, db, "PEOPLE", jdbc.Split("Id", 2)).groupBy().count()
+    assert "PushedAggregates: [COUNT(*)]" in plan(in_parts) and in_parts.first()[0] == 2
+    assert jdbc.read_table(spark, db, "APP.PEOPLE").count() == 2
 
 
 def test_query_slices_and_counts(spark, db, people, rows):
     sql = 'SELECT "Id", "Name" AS "who" FROM PEOPLE WHERE "Age" > 26'
     assert rows(jdbc.read_query(spark, db, sql)) == [(1, "Alice")]
     assert rows(jdbc.read_slices(spark, db, "PEOPLE", ['"Id" = 1', '"Id" <> 1'])) == rows(people)
-    assert jdbc.count_rows(spark, db, "PEOPLE", '"Age" > 26').first().row_count == 1
+    assert jdbc.count_rows(spark, db, "PEOPLE", "Age > 26").first().row_count == 1
 
 
 def test_append_truncate_and_empty_append(spark, db, people, rows):

@@ -57,3 +57,14 @@ def test_order_and_limits(spark, plan):
     assert "TakeOrderedAndProject" in plan(top_n(df, 3, [F.desc("id")]))
     assert [r.id for r in ordered(df, [F.desc("id")]).limit(2).collect()] == [99, 98]
     assert row_limit(df, 7).count() == 7
+
+
+def test_large_limit_moves_no_rows(spark, tmp_path, plan):
+    path = str(tmp_path / "t")
+    spark.range(0, 10_000, 1, 7).write.parquet(path)
+    df = spark.read.parquet(path).where("id % 3 <> 0")
+    for n in (1, 1000, 6000, 6666):
+        limited = row_limit(df, n, single_task_rows=0)
+        assert limited.count() == n and limited.distinct().count() == n
+        assert "Exchange" not in plan(limited)
+    assert row_limit(df, 50_000, single_task_rows=0).count() == 6666
