@@ -70,10 +70,11 @@ def reconcile_rows(
 
     A missing side is a mismatch, and so is a NULL in a compared column unless ``null_safe``.
 
-    No join is needed. Rows of both sides are grouped by their whole content, which is one shuffle with
-    map-side combine where equal rows collapse and a repeated key spreads by content. Only rows that found no
-    equal partner are then grouped by key. A key that is repeated and differs comes out once, with its row
-    counts, instead of as all pairs. NULL keys equal nothing: such rows are mismatches on their own.
+    Rows of both sides are grouped by their whole content, which is one shuffle with map-side combine where
+    equal rows collapse (into one row with counts) and a repeated key spreads by content. Only rows that found
+    no equal partner are then looked at by key: one on each side makes a pair. Where a key has several left over,
+    each comes out for its own side, instead of in all pairs. NULL keys equal nothing, so such rows are
+    mismatches on their own.
     """
     columns = [*key, *compare]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -107,7 +108,8 @@ def reconcile_rows(
         F.sum("_s").alias("source_rows"),
         F.sum("_t").alias("target_rows"),
     )
-    differing = differing.select(
+    single = (F.col("source_rows") <= 1) & (F.col("target_rows") <= 1)
+    pairs = differing.where(single).select(
         *key,
         *both(lambda c, side: F.col(f"_{side}.{c}").alias(f"{c}_{side}")),
         "source_rows",
@@ -115,18 +117,21 @@ def reconcile_rows(
         F.lit(MISMATCH).alias("status"),
     )
 
-    unmatched_null = contents.where(null_key).select(
-        *key,
-        *both(lambda c, side: F.when(F.col("_s" if side == "source" else "_t") > 0, F.col(c)).alias(f"{c}_{side}")),
-        s.alias("source_rows"),
-        t.alias("target_rows"),
-        F.lit(MISMATCH).alias("status"),
-    )
-    return union_all([matched, differing, unmatched_null])
+    def one_sided(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *key,
+            *both(lambda c, side: F.when(F.col("_s" if side == "source" else "_t") > 0, F.col(c)).alias(f"{c}_{side}")),
+            s.alias("source_rows"),
+            t.alias("target_rows"),
+            F.lit(MISMATCH).alias("status"),
+        )
+
+    repeated = leftover.join(differing.where(~single).select(*key), key, "left_semi")
+    return union_all([matched, pairs, one_sided(repeated), one_sided(contents.where(null_key))])
 
 
 def reconcile_inner(source: DataFrame, target: DataFrame, key: list[str], compare: list[str], null_safe: bool = False) -> DataFrame:
-    """As ``reconcile_rows``, for the keys that both sides hold."""
+    """The rows of ``reconcile_rows`` that have a partner on the other side."""
     rows = reconcile_rows(source, target, key, compare, null_safe)
     return rows.where(~has_null_key(key) & (F.col("source_rows") > 0) & (F.col("target_rows") > 0))
 
@@ -180,4 +185,4 @@ def schema_diff(spark: SparkSession, source: T.StructType, target: T.StructType)
         .when(F.col("source_type") == F.col("target_type"), "ok")
         .otherwise("type_diff")
     )
-    return s.join(t, "column_name", "full_outer").withColumn("status", verdict).orderBy("column_name")
+    return s.join(t, "column_name", "full_outer").withColumn("status", verdict)

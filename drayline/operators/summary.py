@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayline.functions.windows import static_window, window_and_where
-from drayline.operators.reconcile import exact_avg, exact_sum
+from drayline.operators.reconcile import exact_avg, exact_sum, schema_diff
 
 
 def filtered_count(df: DataFrame, window: Column | None = None, where: str | None = None) -> DataFrame:
@@ -61,6 +61,20 @@ def order_totals_by_owner(
     )
 
 
+def schema_report(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The schema difference of two tables, with the non-NULL count of each column on each side."""
+
+    def filled(df: DataFrame, name: str) -> DataFrame:
+        return column_stats(df).select("column_name", F.col("non_null_count").alias(name))
+
+    return (
+        schema_diff(source.sparkSession, source.schema, target.schema)
+        .join(filled(source, "source_non_null"), "column_name", "left")
+        .join(filled(target, "target_non_null"), "column_name", "left")
+        .orderBy("column_name")
+    )
+
+
 def column_stats(df: DataFrame) -> DataFrame:
     """Type, non-NULL and NULL count of every column, in one pass."""
     counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])

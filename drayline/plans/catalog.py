@@ -888,7 +888,9 @@ def table_counts_union(spark, sf):
 
 @query(
     "schema_diff",
-    """SELECT * FROM (VALUES
+    """SELECT d.*, CASE WHEN d.source_type IS NULL THEN NULL ELSE n END AS source_non_null,
+              CASE WHEN d.target_type IS NULL THEN NULL WHEN d.column_name = 'o_clerk' THEN 0 ELSE n END AS target_non_null
+       FROM (VALUES
          ('o_clerk', NULL, 'string', 'missing_in_source'),
          ('o_custkey', 'bigint', 'int', 'type_diff'),
          ('o_orderdate', 'timestamp_ntz', 'date', 'type_diff'),
@@ -896,12 +898,12 @@ def table_counts_union(spark, sf):
          ('o_orderpriority', 'string', NULL, 'missing_in_target'),
          ('o_orderstatus', 'string', 'string', 'ok'),
          ('o_totalprice', 'double', 'decimal(18,2)', 'type_diff')
-       ) AS d(column_name, source_type, target_type, status)""",
+       ) AS d(column_name, source_type, target_type, status), (SELECT count(*) AS n FROM orders)""",
 )
 def schema_diff(spark, sf):
     orders = table(spark, sf, "orders")
     target = projection.canonicalise(orders, DECLARED_ORDERS[:-1]).withColumn("o_clerk", F.lit(None).cast("string"))
-    return reconcile.schema_diff(spark, orders.schema, target.schema)
+    return summary.schema_report(orders, target)
 
 
 # --- Scalar functions --------------------------------------------------------------------------
@@ -1036,6 +1038,19 @@ def sync_multi_table(spark, sf):
     return results.join(state, "table_name")
 
 
+@query("sync_to_database", SYNC_SQL)
+def sync_to_database(spark, sf):
+    """The sync job between two database tables, with the log between them."""
+    root, db = workspace(spark, "sync-db"), database(spark)
+    log, marks = SnapshotTable(spark, f"{root}/log"), incremental.MarkStore(spark, f"{root}/marks")
+    into = database_table(db, sync_source(spark, sf), "orders_copy", key="o_orderkey", empty=True)
+    target = jdbc.DatabaseTable(db, into, ["o_orderkey"], text_length=128)
+    for rows in (sync_source_before(spark, sf), sync_source(spark, sf)):
+        source = jdbc.read_table(spark, db, database_table(db, rows, "orders_source"), jdbc.Split("o_orderkey", 4))
+        incremental.run_sync(source, "orders", log, target, marks, "modified")
+    return jdbc.read_table(spark, db, into)
+
+
 @query("stream_append_log", "SELECT * FROM events")
 def stream_append_log(spark, sf):
     root, events = workspace(spark, "stream-log"), table(spark, sf, "events")

@@ -133,9 +133,13 @@ def explode_json_rows(df: DataFrame, text: str, schema: T.StructType, keep: tupl
     return df.select(*keep, F.explode(array).alias("_row")).select(*keep, "_row.*")
 
 
-def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files that each hold one JSON array of objects. A file is the unit of parallelism."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Files that each hold one JSON array of objects. A file is the unit of parallelism.
+
+    Without a schema the types are inferred from all rows, never from the first.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read.option("samplingRatio", "1.0")
+    return reader.option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayline.operators.merge import merge_mode
+from drayline.operators.merge import latest_per_key, merge_mode
 from drayline.operators.projection import align
 
 BATCH_ROWS = 10_000
@@ -145,10 +145,16 @@ def execute(spark: SparkSession, db: Database, *statements: str) -> list[int]:
         connection.close()
 
 
+@dataclass(frozen=True)
+class Merged:
+    inserted: int
+    updated: int
+
+
 def merge_rows(
     df: DataFrame, db: Database, table: str, key: list[str], mode: str = "upsert", text_length: int = 4000, parts: int | None = None
-) -> tuple[int, int]:
-    """Stage a change set beside the table and let the database merge it; returns inserted and updated.
+) -> Merged:
+    """Stage a change set beside the table and let the database merge it.
 
     Only the changes travel. They take the table's columns, so a column they lack becomes NULL on update.
     ``upsert`` needs one row per key. The staged count is checked first, so a retried staging task cannot
@@ -173,7 +179,7 @@ def merge_rows(
                 f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} s "
                 f"WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {on})"
             )
-            return execute(spark, db, merge_sql)[0], 0
+            return Merged(execute(spark, db, merge_sql)[0], 0)
         updates = ", ".join(f"{quoted(c)} = s.{quoted(c)}" for c in target.columns if c not in key)
         merge_sql = (
             f"MERGE INTO {table} t USING {stage} s ON {on} "
@@ -181,6 +187,24 @@ def merge_rows(
             f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
         )
         execute(spark, db, merge_sql)
-        return expected - matched, matched
+        return Merged(expected - matched, matched)
     finally:
         execute(spark, db, f"DROP TABLE {stage}")
+
+
+@dataclass(frozen=True)
+class DatabaseTable:
+    """A database table as the target of a sync or an upserting stream. Repeating a merge changes nothing."""
+
+    db: Database
+    table: str
+    key: list[str]
+    text_length: int = 4000
+    parts: int | None = None
+
+    def exists(self) -> bool:
+        return True
+
+    def merge(self, changes: DataFrame, mode: str = "upsert", latest_by: str | None = None, txn: str | None = None) -> Merged:
+        latest = latest_per_key(changes, self.key, latest_by) if latest_by else changes
+        return merge_rows(latest, self.db, self.table, self.key, mode, self.text_length, self.parts)

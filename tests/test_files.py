@@ -114,6 +114,8 @@ def test_json_round_trip(spark, tmp_path):
     array = tmp_path / "array.json"
     array.write_text("[\n " + text + ",\n " + text + "]")
     assert files.read_json_rows(spark, str(array), df.schema).count() == 2
+    array.write_text('[{"a": 1, "b": null}, {"a": 2.5, "b": "x"}]')
+    assert files.read_json_rows(spark, str(array)).schema.simpleString() == "struct<a:double,b:string>"
 
 
 def test_csv_is_in_key_order(spark, tmp_path):

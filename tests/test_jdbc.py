@@ -57,14 +57,14 @@ def test_timestamps_stay_zone_free(spark, db):
 
 def test_merge_in_the_database(spark, db, people, rows):
     changes = spark.createDataFrame([(1, "Alice Updated", 31), (3, "Charlie", 35)], PEOPLE)
-    assert jdbc.merge_rows(changes, db, "PEOPLE", ["Id"], "upsert", text_length=40) == (1, 1)
+    assert jdbc.merge_rows(changes, db, "PEOPLE", ["Id"], "upsert", text_length=40) == jdbc.Merged(1, 1)
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice Updated", 31), (2, "Bob", 25), (3, "Charlie", 35)]
 
 
 def test_merge_makes_missing_columns_null_and_append_leaves_rows(spark, db, people, rows):
     partial = spark.createDataFrame([(2, "Robert")], "Id int, Name string")
-    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "upsert", text_length=40) == (0, 1)
-    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "append", text_length=40) == (0, 0)
+    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "upsert", text_length=40) == jdbc.Merged(0, 1)
+    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "append", text_length=40) == jdbc.Merged(0, 0)
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice", 30), (2, "Robert", None)]
 
 
