@@ -81,9 +81,11 @@ def reconcile_rows(
     sides = source.select(*columns, one.alias("_s"), zero.alias("_t")).unionByName(
         target.select(*columns, zero.alias("_s"), one.alias("_t"))
     )
-    contents = sides.groupBy(*columns).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
-    s, t = F.col("_s"), F.col("_t")
-    null_key = has_null_key(key)
+    # The NULL test is an aggregate so that no branch below filters ahead of the shuffle: all read the same one.
+    contents = sides.groupBy(*columns).agg(
+        F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.bool_or(has_null_key(key)).alias("_null_key")
+    )
+    s, t, null_key = F.col("_s"), F.col("_t"), F.col("_null_key")
 
     def both(value) -> list[Column]:
         return [value(c, side) for c in compare for side in ("source", "target")]

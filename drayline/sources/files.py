@@ -32,8 +32,9 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def read_typed_parquet(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
     """Declared columns in declared order; a column the files lack is NULL, a uuid becomes text."""
-    stored = {f.name: f.dataType for f in spark.read.parquet(path).schema}
-    return spark.read.parquet(path).select(
+    files = read_parquet(spark, path)
+    stored = {f.name: f.dataType for f in files.schema}
+    return files.select(
         [
             canonical(F.col(f.name), f, stored[f.name]) if f.name in stored else F.lit(None).cast(f.spark_type).alias(f.name)
             for f in fields

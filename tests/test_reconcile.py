@@ -83,6 +83,7 @@ def test_reconcile_shuffles_contents_once(spark, tmp_path, plan):
     report = r.reconcile_rows(df, df, ["id"], ["a"])
     report.collect()
     text = plan(report)
+    assert text.split("Initial Plan")[0].count("Scan parquet") == 2
     assert "ReusedExchange" in text and "Cartesian" not in text and "Python" not in text
     assert text.split("Initial Plan")[0].count("SortMergeJoin") == 0
 
