@@ -26,6 +26,9 @@ def test_codecs(spark, tmp_path):
 def test_missing_path_is_an_error_and_an_empty_table_keeps_its_schema(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_parquet(spark, str(tmp_path / "nothing"))
+    blank = tmp_path / "blank.parquet"
+    blank.touch()
+    assert files.read_parquet(spark, str(blank), T.StructType().add("id", "long")).count() == 0
     path = str(tmp_path / "empty")
     files.write_parquet(spark.range(0), path)
     read = files.read_parquet(spark, path)
