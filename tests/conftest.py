@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         {
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.leafNodeDefaultParallelism": "2",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
