@@ -79,6 +79,13 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
 
 
+def files_and_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and total bytes of the Parquet files in a folder, from its listing; nothing is opened."""
+    system, hadoop_path = _hadoop(spark, path)
+    files = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*.parquet"))
+    return len(files), system.getContentSummary(hadoop_path).getLength()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     system, hadoop_path = _hadoop(spark, path)
     system.delete(hadoop_path, True)

@@ -109,13 +109,6 @@ def newest_first(stats: DataFrame) -> DataFrame:
     return stats.orderBy(F.desc("file_modification_time"), "file_path")
 
 
-def files_and_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number and total bytes of the Parquet files under a path, from the listing alone."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    row = listing.load(path).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return row[0], row[1]
-
-
 # --- JSON rows ---------------------------------------------------------------------------------
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from drayline.operators.projection import align
 from drayline.schemas import COMMITS
-from drayline.session import local_rows
-from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, files_and_bytes, write_parquet
+from drayline.session import files_and_bytes, local_rows
+from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, write_parquet
 from drayline.sources.ledger import Ledger
 
 
@@ -79,16 +79,16 @@ class SnapshotTable:
         ``txn`` names the batch: appending the one already at the head changes nothing, so retries are safe.
         ``metrics`` are further aggregates to take of the rows while they are written, returned as text.
         """
-        return self._append(self.head(), df, txn, metrics, **how)
+        return self.append_after(self.head(), df, txn, metrics, **how)
 
     def append_or_create(self, df: DataFrame, txn: str | None = None, metrics: dict | None = None, **how) -> Appended:
         """For repeated runs: the first batch with rows creates the table."""
-        head = self.find_head()
-        if head is not None:
-            return self._append(head, df, txn, metrics, **how)
-        return self._write(df, None, txn, metrics or {}, **how)
+        return self.append_after(self.find_head(), df, txn, metrics, **how)
 
-    def _append(self, head: Row, df: DataFrame, txn: str | None, metrics: dict | None, **how) -> Appended:
+    def append_after(self, head: Row | None, df: DataFrame, txn: str | None = None, metrics: dict | None = None, **how) -> Appended:
+        """As ``append_or_create``, for a caller that has just looked up the head."""
+        if head is None:
+            return self._write(df, None, txn, metrics or {}, **how)
         if txn is not None and head.txn == txn:
             return Appended(head.snapshot_id, head.rows_added, {})
         return self._write(align(df, _schema(head)), head, txn, metrics or {}, **how)
