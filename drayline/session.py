@@ -36,7 +36,9 @@ def build_session(app_name: str = "drayline", master: str | None = None, conf: d
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
+    """Whether executors are threads of this process; those of ``local-cluster`` are processes of their own."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
 
 
 _local_root: str | None = None
