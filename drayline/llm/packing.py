@@ -52,7 +52,7 @@ class WordTokenizer:
             before = stem[-2:-1]
             mark = stem[-1] if stem[-1] in self.marks and before.isalpha() and before < "\u0250" and before != "\u0130" else ""
             plain[word] = (stem[:-1] if mark else stem, mark)
-        unknown = list({stem for stem, _ in plain.values()} - self.stems.keys())
+        unknown = list({stem for stem, _ in plain.values()}.difference(self.stems))
         if len(self.stems) + len(unknown) > CACHE_WORDS:
             self.stems, unknown = {}, list({stem for stem, _ in plain.values()})
         for at in range(0, len(unknown), 10_000):
@@ -64,7 +64,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            missing = set(words) - self.words.keys()
+            missing = set(words).difference(self.words)
             if missing:
                 if len(self.words) + len(missing) > CACHE_WORDS:
                     self.words = {"": b""}
