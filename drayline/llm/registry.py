@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import packing
+from drayline.llm import language, linear, packing, quality, toxicity
 from drayline.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,28 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf, "documents"), capacity=4096)
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(quality.labelled_documents(docs, table(spark, sf, "labels"), "toxic"))
+    return toxicity.score(docs, model).withColumn("held_out", linear.fold() == 0)
+
+
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.train(language.training_rows(docs)))
+    return found.select("doc_id", (linear.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(quality.labelled_documents(docs, table(spark, sf, "labels"), "quality"))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", (linear.fold() == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}

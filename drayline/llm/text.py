@@ -63,11 +63,21 @@ class Words:
     end: np.ndarray
     data: np.ndarray
     row_bytes: np.ndarray  # byte position at which each row begins, and the end
+    sums: np.ndarray
 
     @property
     def rows(self) -> int:
         return len(self.first) - 1
 
+    @property
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.rows), np.diff(self.first))
+
+    def part_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, within words or across them; equal bytes give equal hashes."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * _powers.upto(len(self.data) + 1)[1][start])
+
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``CHUNK_BYTES`` of text, or of one row, so that memory does not grow with the batch."""
@@ -96,13 +106,19 @@ def text_sizes(texts: pa.Array) -> np.ndarray:
     return np.diff(_offsets_and_bytes(texts)[0])
 
 
-def words(texts: pa.Array) -> Words:
-    """A NULL text has no words."""
+def text_bytes(texts: pa.Array, code: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, each replaced by its code, and where each row begins. A NULL text has no bytes."""
     if texts.null_count:
         texts = texts.fill_null("")
     at, raw = _offsets_and_bytes(texts)
-    data = LOWER[raw[at[0] : at[-1]]]
-    row_bytes = at - at[0]
+    return code[raw[at[0] : at[-1]]], at - at[0]
+
+
+def words(texts: pa.Array, code: np.ndarray = LOWER) -> Words:
+    return scan(*text_bytes(texts, code))
+
+
+def scan(data: np.ndarray, row_bytes: np.ndarray) -> Words:
     inside = ~IS_SPACE[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -113,12 +129,11 @@ def words(texts: pa.Array) -> Words:
     ends[cuts - 1] = inside[cuts - 1]
     start, last = np.flatnonzero(begins), np.flatnonzero(ends)
     up, down = _powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, dtype=np.uint64)
-        sums[0] = 0
         np.cumsum(BYTE_CODE[data] * up[:-1], out=sums[1:])
         hashes = mix((sums[last + 1] - sums[start]) * down[start])
-    return Words(hashes, np.searchsorted(start, row_bytes), start, last + 1, data, row_bytes)
+    return Words(hashes, np.searchsorted(start, row_bytes), start, last + 1, data, row_bytes, sums)
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +148,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             rolled = mix(rolled ^ np.uint64(n))
         else:
             rolled = np.zeros(0, dtype=np.uint64)
-        row_of = np.repeat(np.arange(w.rows), counts)
+        row_of = w.row_of
         whole = row_of[: len(rolled)] == row_of[n - 1 :] if total >= n else np.zeros(0, dtype=bool)
         out, rows = rolled[whole], row_of[: len(rolled)][whole]
         short = np.flatnonzero((counts > 0) & (counts < n))
