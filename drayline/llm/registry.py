@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import jaccard, language, linear, packing, quality, toxicity
+from drayline.llm import jaccard, language, linear, packing, pii, quality, toxicity
 from drayline.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", linear.fold() == 0)
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.spans(spark, table(spark, sf, "documents")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.linked_documents(spark, table(spark, sf, "documents"), similarity_percent=90, words=3)
 
@@ -45,6 +49,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
