@@ -59,15 +59,25 @@ def either(*tests: Test) -> Test:
     return lambda h, before: reduce(or_, (t(h, before) for t in tests))
 
 
+def card_number(h: Column, before: Column) -> Column:
+    digits = F.regexp_replace(h, r"\W$", "")
+    return F.when(digits.rlike("^[0-9]{13,19}$"), luhn(digits)).otherwise(False)
+
+
+def unchecked_number(h: Column, before: Column) -> Column:
+    """So many digits as a card, but the check digit is wrong."""
+    return h.rlike(r"^[0-9]{13,}\W?$") & ~card_number(h, before)
+
+
 never: Test = lambda h, before: F.lit(False)
 
 LABELERS: dict[str, tuple[Test, Test]] = {  # (votes personal, votes not)
     "regex_secret": (hit(r"(?i)^\W*(password|passwd|pwd|secret|token|api_?key)\W*[=:]", "AKIA[0-9A-Z]{16}"), never),
-    "regex_identifier": (hit(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.", r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "[0-9]{13}"), never),
+    "regex_identifier": (either(hit(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.", r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), card_number), unchecked_number),
     "gazetteer": (hit(r"(?i)(mail|example\.com|akia|password|token|bearer|ssh-)"), after("(?i)(version|licen[sc]e|apache|cc by|gnu|copyright)")),
     "context": (after(r"(?i)(password|passwd|token|secret|key|login|mail|phone|tel|call|card)\W{0,4}$"), after(r"(?i)(version|page|chapter|section|year|no|vol)\W{0,2}$")),
     "shape": (both(length(16), hit("[0-9]"), hit("[A-Za-z]")), hit(r"^[0-9]{1,8}\W?$", r"^[0-9]+\.[0-9]+\W?$")),
-    "digits": (hit(r"^[+(]?[0-9][0-9().-]{8,}\W?$"), length(0, 6)),
+    "digits": (both(hit(r"^[+(]?[0-9][0-9().-]{8,}\W?$"), lambda h, before: ~unchecked_number(h, before)), either(length(0, 6), unchecked_number)),
 }
 FEATURES: dict[str, Test] = {
     "at": hit("@"),
@@ -77,6 +87,10 @@ FEATURES: dict[str, Test] = {
     "capitals": hit(r"^[A-Z0-9]{12,}\W?$"),
     "hex": hit("[0-9a-f]{16,}"),
     "few_digits": hit(r"^\D*+[0-9]{1,4}\D*+$"),
+    "short": length(0, 6),
+    "number": hit(r"^[0-9.,]+\W?$"),
+    "unchecked": unchecked_number,
+    "numbered": LABELERS["context"][1],
     "cue": LABELERS["context"][0],
 }
 

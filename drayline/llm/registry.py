@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import jaccard, language, linear, packing, pii, quality, toxicity
+from drayline.llm import decontamination, jaccard, language, licenses, linear, packing, pii, quality, toxicity
 from drayline.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.spans(spark, table(spark, sf, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.linked_documents(spark, table(spark, sf, "documents"), similarity_percent=90, words=3)
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_decontamination": op4_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
