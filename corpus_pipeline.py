@@ -3,22 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from drayline.llm import packing
+from drayline.llm import decontamination, jaccard, packing, pii, quality
 from drayline.session import table_path, workspace
 
 
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    labels = spark.read.parquet(table_path(sf_dir, "labels"))
+    return quality.keep_accepted(docs, quality.train(quality.labelled_documents(docs, labels, "quality")), threshold=0.3)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
+    return jaccard.one_of_each(spark, docs, similarity_percent=80, words=5)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontamination.clean(spark, docs, spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind, and ``n_chars`` of the new text."""
+    redacted = pii.redact(spark, docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
     return packing.pack(spark, docs, capacity=4096)
 
 
 STAGES = [
+    ("quality classifier", accept_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", redact_personal),
     ("best-fit packing", pack_sequences),
 ]
+
+#: Trained models and alignments are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``; each result is a written table, so a lost executor repeats one stage's
+    tasks at most."""
     docs = spark.read.parquet(table_path(sf_dir, "documents"))
     for name, stage in STAGES:
         path = workspace(spark, "stage-" + name.replace(" ", "-"))

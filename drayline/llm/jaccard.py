@@ -282,3 +282,20 @@ def linked_documents(spark: SparkSession, docs: DataFrame, similarity_percent: i
     repeat a doc_id are one document, linked with whatever any of them links with. Other columns are not read.
     """
     return Join(spark, docs, Threshold(similarity_percent, 100, words)).run()
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, similarity_percent: int = 80, words: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that of the smallest doc_id, and one row of each doc_id.
+
+    Rows with a NULL doc_id, and documents without words, stay as they are (repeated rows of the latter: once)."""
+    path = workspace(spark, "linked-away")
+    linked = linked_documents(spark, docs, similarity_percent, words)
+    linked.where("doc_id <> component_id").select("doc_id").distinct().write.parquet(path)
+    kept = docs.join(spark.read.parquet(path), "doc_id", "left_anti").select(docs.columns)
+    repeated = workspace(spark, "repeated-ids")
+    docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").write.parquet(repeated)
+    ids = spark.read.parquet(repeated)
+    if ids.isEmpty():
+        return kept
+    once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(once)

@@ -7,6 +7,8 @@ that n-grams of them speak for texts whose words were never seen. A feature's va
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,6 +100,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     return linear.score_rows(docs, features, finish, *model, "score double, predicted int")
 
 
+def keep_accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold. Nothing is shuffled."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.each_chunk(batches):
+            score = linear.sigmoid(features(batch.column("text")).scores(shared.value, bias))
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled_documents(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """Training rows: documents with a label, in the folds learned from. A doc_id that repeats in labels counts once."""
     ids = labels.where(F.col(column).isNotNull()).groupBy(F.col("doc_id")).agg(F.max(column).alias("label"))
