@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import decontamination, jaccard, language, licenses, linear, packing, pii, quality, toxicity
+from drayline.llm import decontamination, jaccard, language, licenses, linear, maxent, packing, pii, quality, toxicity
 from drayline.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.linked_documents(spark, table(spark, sf, "documents"), similarity_percent=90, words=3)
 
 
+def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent.score(spark, table(spark, sf, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = language.identify(docs, language.train(language.training_rows(docs)))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
