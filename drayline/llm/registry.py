@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import decontamination, jaccard, language, licenses, linear, maxent, packing, pii, quality, toxicity
+from drayline.llm import decontamination, hamming, jaccard, language, licenses, linear, maxent, packing, pii, quality, toxicity
 from drayline.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return hamming.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=10)
+
+
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
@@ -63,10 +68,20 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
+    "op5_hamming_top_k": op5_hamming_top_k,
     "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_hamming_top_k": """
+        WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: (coalesce(x, 0) > 0)::INT) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+        pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+                   list_sum(list_transform(list_zip(q.bits, v.bits), lambda p: (p[1] <> p[2])::INT))::INT AS distance
+            FROM codes q JOIN codes v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, neighbor_id, distance, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM pairs) WHERE rank <= 10""",
+}
