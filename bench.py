@@ -125,7 +125,7 @@ def main() -> None:
 
     measure("first_sync_10k", first_sync_10k, 10_000)
     key = catalog.database_table(db, ten.limit(0), "import_10k", key="Id")
-    measure("import_merge_10k", lambda: jdbc.merge_rows(ten, db, key, ["Id"], text_length=128), 10_000)
+    measure("import_merge_10k", lambda: jdbc.merge_rows(ten, db, key, ["Id"]), 10_000)
 
     print(
         json.dumps(

@@ -22,9 +22,10 @@ def as_day(value: Day) -> date:
 def midnight(value: Day) -> Column:
     """Midnight as a literal that takes the type of the column it is compared with.
 
-    Date, zone-free and zoned columns all stay uncast, so the comparison reaches Parquet and JDBC scans.
+    Date, zone-free and zoned columns all stay uncast, so the comparison reaches Parquet and JDBC scans. A text column
+    compares as ISO text, in which a bare day comes before all times of that day.
     """
-    return F.lit(f"{as_day(value).isoformat()} 00:00:00")
+    return F.lit(as_day(value).isoformat())
 
 
 def date_window(column: str, start: Day, end: Day, end_inclusive_day: bool = False) -> Column:
@@ -41,18 +42,21 @@ def date_window(column: str, start: Day, end: Day, end_inclusive_day: bool = Fal
     return (c >= midnight(first)) & (c <= midnight(last))
 
 
-# Date format letters of integer-date columns and their strftime form.
-INT_DATE_FORMATS = {
-    "yyyyMMdd": "%Y%m%d",
-    "yyyyMM": "%Y%m",
-    "yyyy": "%Y",
-}
+#: Pattern letters of a date format, longest first, and their strftime form.
+DATE_LETTERS = {"yyyy": "%Y", "yy": "%y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
 
 
 def int_date_value(value: Day, fmt: str = "yyyyMMdd") -> int:
-    if fmt not in INT_DATE_FORMATS:
-        raise ValueError(f"unsupported integer date format {fmt!r}; use one of {sorted(INT_DATE_FORMATS)}")
-    return int(as_day(value).strftime(INT_DATE_FORMATS[fmt]))
+    """The day (at midnight) in a format of numeric pattern letters, as a number; other characters stand for themselves."""
+    text, at = "", 0
+    day = as_day(value)
+    while at < len(fmt):
+        letters = next((k for k in DATE_LETTERS if fmt.startswith(k, at)), fmt[at])
+        text += datetime(day.year, day.month, day.day).strftime(DATE_LETTERS[letters]) if letters in DATE_LETTERS else letters
+        at += len(letters)
+    if not text.isdigit():
+        raise ValueError(f"the date format {fmt!r} does not give a number: {text!r}")
+    return int(text)
 
 
 def int_date_window(column: str, start: Day, end: Day, fmt: str = "yyyyMMdd") -> Column:

@@ -10,8 +10,6 @@ from drayline.functions.scalars import contains_ci
 from drayline.functions.types import Field, canonical, required_default
 from drayline.functions.windows import window_and_where
 
-SINGLE_TASK_ROWS = 1_000_000
-
 
 def extract(
     df: DataFrame,
@@ -39,11 +37,22 @@ def canonicalise(df: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Target columns in target order and type: a missing one is NULL, an extra one is dropped."""
-    have = set(df.columns)
-    return df.select(
-        [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+    """Target columns in target order and type: a missing one is NULL, an extra one is dropped.
+
+    Names match as Spark and databases match them, in any letter case, the same spelling first. A target name that
+    several columns differ from only in case is an error.
+    """
+    spelled: dict[str, list[str]] = {}
+    for name in df.columns:
+        spelled.setdefault(name.lower(), []).append(name)
+
+    def source(name: str) -> Column:
+        found = spelled.get(name.lower(), [])
+        if len(found) > 1:
+            raise ValueError(f"{name!r} could be any of the columns {found}")
+        return F.col(f"`{found[0]}`") if found else F.lit(None)
+
+    return df.select([source(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def fill_required(df: DataFrame, fields: list[Field]) -> DataFrame:
@@ -59,29 +68,15 @@ def to_utc(column: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), column)
 
 
-def row_limit(df: DataFrame, n: int, order_by: list[str] | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def row_limit(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
     """Any ``n`` rows, or the first ``n`` in an order.
 
-    A plain limit ends in one task, which is right for a small ``n``. Beyond ``single_task_rows`` any ``n`` rows
-    are taken in place instead: the rows of each partition are counted, and a cut through the row ids then keeps
-    exactly ``n`` without moving one. That counts the input once more, and needs rows that come from a scan
-    (whose partitions are the same both times) rather than from a shuffle.
+    The same plan for every ``n``: each task stops after ``n`` rows, and a database whose dialect has limits is asked for no
+    more. The rows of the result then pass through one task, a row at a time.
     """
     if n <= 0:
         raise ValueError("a row limit must be positive")
-    if order_by:
-        return df.orderBy(*order_by).limit(n)
-    if n <= single_task_rows:
-        return df.limit(n)
-    counts = df.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()
-    left = n
-    for part in counts:
-        if part["count"] >= left:
-            # Row ids hold the partition above bit 33 and the row's position below.
-            cut = (part["p"] << 33) + left
-            return df.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") < cut).drop("_row")
-        left -= part["count"]
-    return df
+    return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)
 
 
 def ordered(df: DataFrame, by: list[Column]) -> DataFrame:

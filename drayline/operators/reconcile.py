@@ -140,32 +140,42 @@ def reconcile_inner(source: DataFrame, target: DataFrame, key: list[str], compar
 
 def _sides(source: DataFrame, target: DataFrame, summary) -> DataFrame:
     return union_all(
-        [df.agg(*summary).select(F.lit(side).alias("side"), "*") for side, df in (("source", source), ("target", target))]
+        [df.agg(*summary(df)).select(F.lit(side).alias("side"), "*") for side, df in (("source", source), ("target", target))]
     )
 
 
 def null_counts_compare(source: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs per column, one row per side, one pass over each."""
-    return _sides(source, target, [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns])
+    return _sides(source, target, lambda df: [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns])
 
 
-def exact_sum(column: str, scale: int = 2) -> Column:
-    """A sum that does not depend on the order of addition."""
-    return F.sum(F.col(column).cast(T.DecimalType(18, scale)))
+def total(df: DataFrame, column: str, scale: int | None = None) -> Column:
+    """The sum of a column in a type that holds it: decimals as decimals, integers exactly, floating point as double.
+
+    Sums of doubles depend on the order of addition in their last digits; with a ``scale`` every value is first taken
+    as a decimal with so many digits after the point, which makes the sum independent of it.
+    """
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    if scale is not None:
+        return F.sum(c.cast(T.DecimalType(38, scale)))
+    if isinstance(kind, T.IntegralType):
+        return F.sum(c.cast(T.DecimalType(38, 0)))
+    return F.sum(c) if isinstance(kind, T.DecimalType) else F.sum(c.cast("double"))
 
 
-def exact_avg(column: str, scale: int = 2) -> Column:
-    """The average with the exact sum, as double."""
-    return exact_sum(column, scale).cast("double") / F.count(column)
+def average(df: DataFrame, column: str, scale: int | None = None) -> Column:
+    """The average as double, from the same sum; NULL without values."""
+    return total(df, column, scale).cast("double") / F.count(column)
 
 
 def range_compare(source: DataFrame, target: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
     """Min, max and average of numbers and min and max of times, one row per side."""
-    summary = [
-        a
-        for c in numbers
-        for a in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.round(exact_avg(c), 2).alias(f"avg_{c}"))
-    ] + [a for c in times for a in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]
+
+    def summary(df: DataFrame) -> list[Column]:
+        of_numbers = [a for c in numbers for a in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), average(df, c).alias(f"avg_{c}"))]
+        return of_numbers + [a for c in times for a in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]
+
     return _sides(source, target, summary)
 
 

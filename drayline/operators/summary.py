@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayline.functions.windows import static_window, window_and_where
-from drayline.operators.reconcile import exact_avg, exact_sum, schema_diff
+from drayline.operators.reconcile import average, schema_diff, total
 
 
 def filtered_count(df: DataFrame, window: Column | None = None, where: str | None = None) -> DataFrame:
@@ -15,30 +17,42 @@ def filtered_count(df: DataFrame, window: Column | None = None, where: str | Non
     return rows.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def account_summary(df: DataFrame, amount: str, active: Column) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("total_accounts"),
-        F.count_if(active).alias("active_accounts"),
-        F.count_if(~active).alias("inactive_accounts"),
-        F.round(exact_avg(amount), 2).alias("avg_balance"),
-        F.round(exact_sum(amount).cast("double"), 2).alias("total_balance"),
-        F.min(amount).alias("min_balance"),
-        F.max(amount).alias("max_balance"),
-    )
+@dataclass(frozen=True)
+class Measure:
+    """One output of a summary: ``rows``, ``total``, ``average``, ``least`` or ``greatest`` of a column where a condition
+    holds. ``scale`` as in ``reconcile.total``."""
 
+    name: str
+    kind: str
+    column: str | None = None
+    when: Column | None = None
+    scale: int | None = None
 
-def orders_summary(df: DataFrame, amount: str, placed: str) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        exact_sum(amount).cast("double").alias("total_revenue"),
-        F.round(exact_avg(amount), 2).alias("avg_order_value"),
-        F.min(placed).alias("earliest_order"),
-        F.max(placed).alias("latest_order"),
-    )
+    def over(self, df: DataFrame) -> Column:
+        if self.kind == "rows":
+            return F.count(F.lit(1)) if self.when is None else F.count_if(self.when)
+        # the condition is part of the input, so that every measure sees plain columns
+        kinds = {"total": lambda d, c: total(d, c, self.scale), "average": lambda d, c: average(d, c, self.scale), "least": lambda d, c: F.min(c), "greatest": lambda d, c: F.max(c)}
+        if self.kind not in kinds:
+            raise ValueError(f"unknown measure {self.kind!r}")
+        return kinds[self.kind](df, self.column if self.when is None else self.name)
+
+    def input(self) -> Column | None:
+        if self.kind == "rows" or self.when is None:
+            return None
+        return F.when(self.when, F.col(self.column)).alias(self.name)
+
+
+def conditional_summary(df: DataFrame, measures: list[Measure]) -> DataFrame:
+    """One row with the given measures, from one pass over ``df``."""
+    inputs = [i for i in (m.input() for m in measures) if i is not None]
+    rows = df.select("*", *inputs) if inputs else df
+    return rows.agg(*[m.over(rows).alias(m.name) for m in measures])
 
 
 def order_totals_by_owner(
-    owners: DataFrame, owner_key: str, carry: list[str], orders: DataFrame, order_owner: str, order_key: str, amount: str
+    owners: DataFrame, owner_key: str, carry: list[str], orders: DataFrame, order_owner: str, order_key: str, amount: str,
+    scale: int | None = None,
 ) -> DataFrame:
     """Every owner with order count and total, zero when there are none, by total descending.
 
@@ -46,7 +60,7 @@ def order_totals_by_owner(
     costs no more than another and the join sees one row per owner on each side.
     """
     totals = orders.groupBy(F.col(order_owner).alias(owner_key)).agg(
-        F.count(order_key).alias("order_count"), exact_sum(amount).alias("total")
+        F.count(order_key).alias("orders_placed"), total(orders, amount, scale).alias("amount_ordered")
     )
     return (
         owners.select(owner_key, *carry)
@@ -54,10 +68,10 @@ def order_totals_by_owner(
         .select(
             owner_key,
             *carry,
-            F.coalesce("order_count", F.lit(0)).cast("long").alias("order_count"),
-            F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total_spent"),
+            F.coalesce("orders_placed", F.lit(0)).cast("long").alias("orders_placed"),
+            F.coalesce(F.col("amount_ordered").cast("double"), F.lit(0.0)).alias("amount_ordered"),
         )
-        .orderBy(F.desc("total_spent"), owner_key)
+        .orderBy(F.desc("amount_ordered"), owner_key)
     )
 
 

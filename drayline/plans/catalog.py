@@ -198,7 +198,7 @@ def jdbc_query_scan(spark, sf):
         f'SELECT "o_orderkey", "o_totalprice" AS "amount" FROM {name} '
         "WHERE \"o_orderstatus\" = 'F' AND \"o_totalprice\" > 1000"
     )
-    return jdbc.read_query(spark, db, sql)
+    return jdbc.read_query(spark, db, sql, jdbc.Split("o_orderkey", 4))
 
 
 @query("parquet_scan", "SELECT * FROM lineitem")
@@ -378,13 +378,13 @@ def date_window_single_day(spark, sf):
 @query(
     "date_window_range",
     """SELECT strftime(ts, '%Y-%m-%d') AS event_day, count(*) AS events,
-              CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+              round(sum(value), 2) AS total_value
        FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12' GROUP BY 1""",
 )
 def date_window_range(spark, sf):
     rows = projection.extract(table(spark, sf, "events"), date_window("ts", "2024-01-05", "2024-01-12"))
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("event_day")).agg(
-        F.count(F.lit(1)).alias("events"), reconcile.exact_sum("value").cast("double").alias("total_value")
+        F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("total_value")
     )
 
 
@@ -552,8 +552,8 @@ def staged_import(spark, sf):
     name = database_table(db, customer.where("c_acctbal > 0"), "customer", key="c_custkey")
     building = F.col("c_mktsegment") == "BUILDING"
     changes = customer.where(building).withColumn("c_acctbal", F.col("c_acctbal") + 1.0).drop("c_nationkey")
-    jdbc.merge_rows(changes, db, name, ["c_custkey"], "upsert", text_length=128)
-    jdbc.merge_rows(customer, db, name, ["c_custkey"], "append", text_length=128)
+    jdbc.merge_rows(changes, db, name, ["c_custkey"], "upsert")
+    jdbc.merge_rows(customer, db, name, ["c_custkey"], "append")
     return jdbc.read_table(spark, db, name)
 
 
@@ -592,13 +592,13 @@ def reconcile_inner(spark, sf):
 
 @query(
     "customer_order_summary",
-    """SELECT c.c_custkey, c.c_name, c.c_acctbal, count(o.o_orderkey) AS order_count,
-              coalesce(CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS total_spent
+    """SELECT c.c_custkey, c.c_name, c.c_acctbal, count(o.o_orderkey) AS orders_placed,
+              coalesce(round(sum(o.o_totalprice), 2), 0.0) AS amount_ordered
        FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
-       GROUP BY c.c_custkey, c.c_name, c.c_acctbal ORDER BY total_spent DESC, c.c_custkey""",
+       GROUP BY c.c_custkey, c.c_name, c.c_acctbal ORDER BY amount_ordered DESC, c.c_custkey""",
 )
 def customer_order_summary(spark, sf):
-    return summary.order_totals_by_owner(
+    totals = summary.order_totals_by_owner(
         table(spark, sf, "customer"),
         "c_custkey",
         ["c_name", "c_acctbal"],
@@ -607,6 +607,7 @@ def customer_order_summary(spark, sf):
         "o_orderkey",
         "o_totalprice",
     )
+    return _rounded(totals, amount_ordered=2)
 
 
 # --- Aggregates --------------------------------------------------------------------------------
@@ -667,26 +668,47 @@ def verify_counts_all(spark, sf):
 
 @query(
     "account_summary",
-    """SELECT count(*) AS total_accounts, count(*) FILTER (WHERE c_acctbal > 0) AS active_accounts,
-              count(*) FILTER (WHERE NOT c_acctbal > 0) AS inactive_accounts,
-              round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal), 2) AS avg_balance,
-              round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_balance,
-              min(c_acctbal) AS min_balance, max(c_acctbal) AS max_balance
+    """SELECT min(c_acctbal) AS least, max(c_acctbal) AS greatest, round(sum(c_acctbal), 2) AS held,
+              round(avg(c_acctbal), 6) AS mean, round(sum(c_acctbal) FILTER (WHERE c_acctbal <= 0), 2) AS owed,
+              count(*) FILTER (WHERE c_acctbal > 0) AS in_credit, count(*) FILTER (WHERE c_acctbal <= 0) AS in_debt, count(*) AS rows
        FROM customer""",
 )
 def account_summary(spark, sf):
-    return summary.account_summary(table(spark, sf, "customer"), "c_acctbal", F.col("c_acctbal") > 0)
+    balance = F.col("c_acctbal")
+    measures = [
+        summary.Measure("least", "least", "c_acctbal"),
+        summary.Measure("greatest", "greatest", "c_acctbal"),
+        summary.Measure("held", "total", "c_acctbal"),
+        summary.Measure("mean", "average", "c_acctbal"),
+        summary.Measure("owed", "total", "c_acctbal", when=balance <= 0),
+        summary.Measure("in_credit", "rows", when=balance > 0),
+        summary.Measure("in_debt", "rows", when=balance <= 0),
+        summary.Measure("rows", "rows"),
+    ]
+    return _rounded(summary.conditional_summary(table(spark, sf, "customer"), measures), held=2, mean=6, owed=2)
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Sums and averages of doubles, shown to the digits that do not depend on the order of addition."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query(
     "orders_summary",
-    """SELECT count(*) AS total_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
-              round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice), 2) AS avg_order_value,
-              min(o_orderdate) AS earliest_order, max(o_orderdate) AS latest_order
+    """SELECT min(o_orderdate) AS first_day, max(o_orderdate) AS last_day, round(avg(o_totalprice), 6) AS mean_price,
+              round(sum(o_totalprice), 2) AS price_sum, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders, count(*) AS orders
        FROM orders""",
 )
 def orders_summary(spark, sf):
-    return summary.orders_summary(table(spark, sf, "orders"), "o_totalprice", "o_orderdate")
+    measures = [
+        summary.Measure("first_day", "least", "o_orderdate"),
+        summary.Measure("last_day", "greatest", "o_orderdate"),
+        summary.Measure("mean_price", "average", "o_totalprice"),
+        summary.Measure("price_sum", "total", "o_totalprice"),
+        summary.Measure("open_orders", "rows", when=F.col("o_orderstatus") == "O"),
+        summary.Measure("orders", "rows"),
+    ]
+    return _rounded(summary.conditional_summary(table(spark, sf, "orders"), measures), mean_price=6, price_sum=2)
 
 
 @query(
@@ -700,7 +722,7 @@ def null_counts_compare(spark, sf):
 
 
 _RANGE = """SELECT '{side}' AS side, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice,
-       round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice), 2) AS avg_o_totalprice,
+       round(avg(o_totalprice), 6) AS avg_o_totalprice,
        min(o_orderdate) AS min_o_orderdate, max(o_orderdate) AS max_o_orderdate FROM ({rows})"""
 
 
@@ -709,7 +731,7 @@ _RANGE = """SELECT '{side}' AS side, min(o_totalprice) AS min_o_totalprice, max(
     _RANGE.format(side="source", rows=BASE_SQL) + " UNION ALL " + _RANGE.format(side="target", rows=CHANGES_SQL),
 )
 def range_compare(spark, sf):
-    return reconcile.range_compare(orders_base(spark, sf), orders_changes(spark, sf), ["o_totalprice"], ["o_orderdate"])
+    return _rounded(reconcile.range_compare(orders_base(spark, sf), orders_changes(spark, sf), ["o_totalprice"], ["o_orderdate"]), avg_o_totalprice=6)
 
 
 # The columns of part_gaps and their types.
@@ -761,6 +783,21 @@ def table_profile(spark, sf):
     return profile.table_profile(spark, work_tables(spark, sf), TABLE_SCHEMAS)
 
 
+@query(
+    "database_profile",
+    " UNION ALL ".join(
+        f"SELECT 'APP' AS schema_name, upper('{n}') AS table_name, (SELECT count(*) FROM {n}) AS row_count, CAST({_COLUMN_COUNTS[n]} AS BIGINT) AS column_count"
+        for n in ("region", "nation", "supplier")
+    ),
+)
+def database_profile(spark, sf):
+    db = database(spark)
+    made = {database_table(db, table(spark, sf, n), n): n.upper() for n in ("region", "nation", "supplier")}
+    found = {name: rows for name, rows in jdbc.discover(spark, db, ["APP"]).items() if name.partition(".")[2] in {m.upper() for m in made}}
+    names = F.create_map(*[F.lit(x) for made_name, n in made.items() for x in (made_name.upper(), n)])
+    return profile.database_profile(spark, found).withColumn("table_name", names[F.upper("table_name")])
+
+
 @query(
     "schema_totals",
     f"""SELECT schema_name, count(*) AS total_tables, CAST(sum(row_count) AS BIGINT) AS total_rows,
@@ -1051,7 +1088,7 @@ def sync_to_database(spark, sf):
     root, db = workspace(spark, "sync-db"), database(spark)
     log, marks = SnapshotTable(spark, f"{root}/log"), incremental.MarkStore(spark, f"{root}/marks")
     into = database_table(db, sync_source(spark, sf), "orders_copy", key="o_orderkey", empty=True)
-    target = jdbc.DatabaseTable(db, into, ["o_orderkey"], text_length=128)
+    target = jdbc.DatabaseTable(db, into, ["o_orderkey"])
     for rows in (sync_source_before(spark, sf), sync_source(spark, sf)):
         source = jdbc.read_table(spark, db, database_table(db, rows, "orders_source"), jdbc.Split("o_orderkey", 4))
         incremental.run_sync(source, "orders", log, target, marks, "modified")
@@ -1160,7 +1197,7 @@ def transfer_from_snapshot(spark, sf):
     log.create(customer)
     log.append(changed)
     into = database_table(db, customer.where("c_acctbal > 0"), "customer_copy", key="c_custkey")
-    jobs.from_snapshot(log, db, into, ["c_custkey"], "revision", text_length=128)
+    jobs.from_snapshot(log, db, into, ["c_custkey"], "revision")
     return jdbc.read_table(spark, db, into)
 
 

@@ -19,13 +19,14 @@ COMMITS = T.StructType(
     ]
 )
 
-# One row per piece in force, and one with a NULL bucket that carries the schema and the last batch name.
+# One row per piece in force, and one with a NULL bucket that carries the schema, the key and bucket rule, and the last batch name.
 PIECES = T.StructType(
     [
         T.StructField("bucket", T.LongType(), True),
         T.StructField("version", T.LongType(), False),
         T.StructField("rows", T.LongType(), False),
         T.StructField("schema_json", T.StringType(), True),
+        T.StructField("layout", T.StringType(), True),
         T.StructField("txn", T.StringType(), True),
         T.StructField("committed_at", T.TimestampType(), False),
     ]

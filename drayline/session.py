@@ -81,6 +81,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with wildcards, from one listing."""
+    system, hadoop_path = _hadoop(spark, pattern)
+    return [s.getPath().toString() for s in system.globStatus(hadoop_path) or []]
+
+
 def files_and_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
     """Number and total bytes of the Parquet files in a folder, from its listing; nothing is opened."""
     system, hadoop_path = _hadoop(spark, path)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from drayline.functions.scalars import date_parts, iso_text
 from drayline.functions.types import Field, canonical
 from drayline.functions.windows import Day, as_day
-from drayline.session import path_exists
+from drayline.session import local_rows, matching_paths, path_exists
 
 # Codecs a Parquet sink accepts.
 CODECS = ("snappy", "gzip", "none")
@@ -43,8 +43,15 @@ def read_typed_parquet(spark: SparkSession, path: str, fields: list[Field]) -> D
 
 
 def read_day_range(spark: SparkSession, path: str, start: Day, end: Day, schema: T.StructType) -> DataFrame:
-    """Rows of the day folders ``start``..``end``, both included. Only partition columns are compared."""
+    """Rows of the day folders ``start``..``end``, both included. Only partition columns are compared.
+
+    The folder's ``year``, ``month`` and ``day`` are columns of the result, as text. Where the data has a column of such a
+    name, the data's own columns are all there is, and the folders are picked from the folder listing.
+    """
     first, last = as_day(start), as_day(end)
+    if {f.name.lower() for f in schema.fields} & set(DAY_COLUMNS) and _data_has_day_columns(spark, path):
+        folders = [f for f, day in _day_folders(spark, path) if first.strftime("%Y%m%d") <= day <= last.strftime("%Y%m%d")]
+        return spark.read.schema(schema).parquet(*folders) if folders else local_rows(spark, [], schema)
     text_days = T.StructType(
         [f for f in schema.fields if f.name not in DAY_COLUMNS] + [T.StructField(d, T.StringType()) for d in DAY_COLUMNS]
     )
@@ -58,6 +65,20 @@ def read_day_range(spark: SparkSession, path: str, start: Day, end: Day, schema:
     )
 
 
+def _day_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, yyyyMMdd) of every day folder, in order."""
+    found = []
+    for folder in matching_paths(spark, f"{path}/year=*/month=*/day=*"):
+        found.append((folder, "".join(part.rpartition("=")[2] for part in folder.rstrip("/").split("/")[-3:])))
+    return sorted(found, key=lambda x: x[1])
+
+
+def _data_has_day_columns(spark: SparkSession, path: str) -> bool:
+    """Whether the files of the newest day folder hold a column named like a part of the folder."""
+    folders = _day_folders(spark, path)
+    return bool(folders) and bool({c.lower() for c in spark.read.parquet(folders[-1][0]).columns} & set(DAY_COLUMNS))
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
@@ -88,6 +109,9 @@ def write_data_date(df: DataFrame, path: str, date_column: str | None, date: Col
     if date_column is None and date is None:
         write_parquet(df, f"{path}/static")
         return
+    taken = sorted({c.lower() for c in df.columns} & set(DAY_COLUMNS))
+    if taken:
+        raise ValueError(f"columns {taken} have the names of the day folders; rename them first")
     dated = df.select("*", *date_parts(F.col(date_column) if date is None else date))
     (
         dated.hint("rebalance", *DAY_COLUMNS)
@@ -128,12 +152,15 @@ def explode_json_rows(df: DataFrame, text: str, schema: T.StructType, keep: tupl
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Files that each hold one JSON array of objects. A file is the unit of parallelism.
+    """Files that each hold one JSON array of flat objects; anything else fails the job. A file is the unit of parallelism.
 
-    Without a schema the types are inferred from all rows, never from the first.
+    Without a schema the types are inferred from all rows, never from the first; a nested value is then its raw text.
     """
-    reader = spark.read.schema(schema) if schema else spark.read.option("samplingRatio", "1.0")
-    return reader.option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    if schema is None:
+        inferred = spark.read.option("samplingRatio", "1.0").option("multiLine", "true").option("mode", "FAILFAST").json(path).schema
+        nested = (T.StructType, T.ArrayType, T.MapType)
+        schema = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in inferred.fields])
+    return explode_json_rows(spark.read.text(path, wholetext=True), "value", schema)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,28 @@ class Database:
 
 @dataclass(frozen=True)
 class Split:
-    """How to cut a table into parallel reads: an evenly spread numeric, date or timestamp column."""
+    """How to cut rows into parallel reads: at even steps of a numeric, date or timestamp column, or at given values.
+
+    ``cuts`` are for keys that are unevenly spread, as one far from the rest would leave nearly all rows in one part.
+    """
 
     column: str
-    parts: int
+    parts: int = 0
+    cuts: tuple = ()
+
+    def predicates(self) -> list[str]:
+        """Conditions in the database's SQL that are disjoint and complete, NULLs in the first."""
+        c, values = quoted(self.column), [_literal(v) for v in self.cuts]
+        if not values:
+            return ["1 = 1"]
+        between = [f"{c} >= {low} AND {c} < {high}" for low, high in zip(values, values[1:])]
+        return [f"{c} < {values[0]} OR {c} IS NULL", *between, f"{c} >= {values[-1]}"]
+
+
+def _literal(value) -> str:
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"rows cannot be cut at {value!r}")
+    return str(value) if isinstance(value, (int, float, Decimal)) else "'" + str(value).replace("'", "''") + "'"
 
 
 def quoted(name: str) -> str:
@@ -64,6 +83,8 @@ def read_table(spark: SparkSession, db: Database, table: str, split: Split | Non
     """
     name = ".".join(f"`{part}`" for part in [db.catalog(spark), *table.split(".")])
     whole = spark.table(name)
+    if split is not None and split.cuts:
+        return read_slices(spark, db, table, split.predicates())
     if split is None or split.parts <= 1:
         return whole
     bounds = whole.agg(F.min(split.column).cast("string"), F.max(split.column).cast("string"))
@@ -79,9 +100,22 @@ def read_table(spark: SparkSession, db: Database, table: str, split: Split | Non
     )
 
 
-def read_query(spark: SparkSession, db: Database, sql: str) -> DataFrame:
-    """Rows of the caller's own SELECT, which runs in the database."""
-    return spark.read.format("jdbc").options(**db.reader_options()).option("query", sql).load()
+def read_query(spark: SparkSession, db: Database, sql: str, split: Split | None = None) -> DataFrame:
+    """Rows of the caller's own SELECT, which runs in the database. With a split it runs once per part, each time for the
+    rows of that part only; the split's column is one of the result."""
+    reader = spark.read.format("jdbc").options(**db.reader_options())
+    if split is None or not (split.cuts or split.parts > 1):
+        return reader.option("query", sql).load()
+    inner = f"({sql}) q"
+    if split.cuts:
+        return read_slices(spark, db, inner, split.predicates())
+    column = quoted(split.column)
+    bounds = reader.option("query", f'SELECT MIN({column}) AS "low", MAX({column}) AS "high" FROM {inner}').load()
+    low, high = bounds.select(F.col("low").cast("string"), F.col("high").cast("string")).first()
+    if low is None:
+        return reader.option("query", sql).load()
+    cut = {"partitionColumn": split.column, "lowerBound": low, "upperBound": high, "numPartitions": split.parts}
+    return spark.read.format("jdbc").options(**db.reader_options(), **cut).option("dbtable", inner).load()
 
 
 def read_slices(spark: SparkSession, db: Database, table: str, predicates: list[str]) -> DataFrame:
@@ -113,10 +147,12 @@ def append_rows(df: DataFrame, db: Database, table: str, text_length: int = 4000
     _writer(df, db, table, text_length, parts).mode("append").save()
 
 
-def append_new_rows(df: DataFrame, db: Database, table: str, key: list[str], split: Split | None = None, **how) -> None:
-    """Append only rows whose key the table lacks; a rerun after a partial load completes it."""
-    present = read_table(df.sparkSession, db, table, split).select(*key)
-    append_rows(df.join(present, key, "left_anti"), db, table, **how)
+def append_new_rows(df: DataFrame, db: Database, table: str, key: list[str], parts: int | None = None) -> int:
+    """Append only rows whose key the table lacks; a rerun after a partial load completes it. Returns the rows added.
+
+    The rows go to a staging table and the database picks the new ones, so the target's keys are not read out.
+    """
+    return merge_rows(df, db, table, key, "append", parts).inserted
 
 
 def truncate_load(df: DataFrame, db: Database, table: str, text_length: int = 4000, parts: int | None = None) -> None:
@@ -125,7 +161,8 @@ def truncate_load(df: DataFrame, db: Database, table: str, text_length: int = 40
 
 
 def execute(spark: SparkSession, db: Database, *statements: str) -> list[int]:
-    """Run statements in the database, in one transaction; returns the affected row counts."""
+    """Run statements in the database, in one transaction; returns the affected row count of each, or the number that a
+    query gives."""
     jvm = spark._jvm
     if db.driver:
         jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(db.driver)
@@ -135,7 +172,16 @@ def execute(spark: SparkSession, db: Database, *statements: str) -> list[int]:
     connection = jvm.java.sql.DriverManager.getConnection(db.url, properties)
     try:
         connection.setAutoCommit(False)
-        counts = [connection.createStatement().executeUpdate(sql) for sql in statements]
+        counts = []
+        for sql in statements:
+            statement = connection.createStatement()
+            if statement.execute(sql):
+                result = statement.getResultSet()
+                result.next()
+                counts.append(result.getLong(1))
+                result.close()
+            else:
+                counts.append(statement.getUpdateCount())
         connection.commit()
         return counts
     except Exception:
@@ -151,43 +197,51 @@ class Merged:
     updated: int
 
 
-def merge_rows(
-    df: DataFrame, db: Database, table: str, key: list[str], mode: str = "upsert", text_length: int = 4000, parts: int | None = None
-) -> Merged:
+def _is_sql_server(db: Database) -> bool:
+    return db.url.startswith("jdbc:sqlserver:")
+
+
+def stage_sql(db: Database, stage: str, table: str) -> str:
+    """An empty table with the columns and types of another."""
+    if _is_sql_server(db):
+        return f"SELECT TOP 0 * INTO {stage} FROM {table}"
+    return f"CREATE TABLE {stage} AS SELECT * FROM {table} WITH NO DATA"
+
+
+def merge_sql(db: Database, stage: str, table: str, columns: list[str], key: list[str], mode: str) -> str:
+    """The statement that applies a staged change set, in the database's dialect."""
+    on = " AND ".join(f"t.{quoted(c)} = s.{quoted(c)}" for c in key)
+    names, values = ", ".join(map(quoted, columns)), ", ".join(f"s.{quoted(c)}" for c in columns)
+    if mode == "append":
+        return f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} s WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {on})"
+    others = [c for c in columns if c not in key]
+    updates = ", ".join(f"{quoted(c)} = s.{quoted(c)}" for c in others)
+    matched = f"WHEN MATCHED THEN UPDATE SET {updates} " if others else ""
+    end = ";" if _is_sql_server(db) else ""
+    return f"MERGE INTO {table} t USING {stage} s ON {on} {matched}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values}){end}"
+
+
+def merge_rows(df: DataFrame, db: Database, table: str, key: list[str], mode: str = "upsert", parts: int | None = None) -> Merged:
     """Stage a change set beside the table and let the database merge it.
 
-    Only the changes travel. They take the table's columns, so a column they lack becomes NULL on update.
-    ``upsert`` needs one row per key. The staged count is checked first, so a retried staging task cannot
-    slip its rows in twice.
+    Only the changes travel. They take the table's columns and types, so a column they lack becomes NULL on update.
+    ``upsert`` needs one row per key. The staged count is checked first, so a retried staging task cannot slip its rows in
+    twice; matches are counted in the transaction of the merge.
     """
     spark, mode = df.sparkSession, merge_mode(mode)
     target = read_table(spark, db, table)
-    changes = align(df, target.schema)
     stage = f"{table}_STAGE_{uuid.uuid4().hex[:8].upper()}"
-    seen = Observation()
-    append_rows(changes.observe(seen, F.count(F.lit(1)).alias("rows")), db, stage, text_length, parts)
-    expected = seen.get["rows"]
-    columns = [quoted(c) for c in target.columns]
     on = " AND ".join(f"t.{quoted(c)} = s.{quoted(c)}" for c in key)
-    names, values = ", ".join(columns), ", ".join(f"s.{c}" for c in columns)
+    seen = Observation()
+    execute(spark, db, stage_sql(db, stage, table))
     try:
-        if count_rows(spark, db, stage).first()[0] != expected:
+        append_rows(align(df, target.schema).observe(seen, F.count(F.lit(1)).alias("rows")), db, stage, parts=parts)
+        expected = seen.get["rows"]
+        if execute(spark, db, f"SELECT COUNT(*) FROM {stage}")[0] != expected:
             raise RuntimeError(f"staging {table} was written more than once; run the merge again")
-        matched = read_query(spark, db, f"SELECT COUNT(*) AS n FROM {stage} s JOIN {table} t ON {on}").first()[0]
-        if mode == "append":
-            merge_sql = (
-                f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} s "
-                f"WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {on})"
-            )
-            return Merged(execute(spark, db, merge_sql)[0], 0)
-        updates = ", ".join(f"{quoted(c)} = s.{quoted(c)}" for c in target.columns if c not in key)
-        merge_sql = (
-            f"MERGE INTO {table} t USING {stage} s ON {on} "
-            f"WHEN MATCHED THEN UPDATE SET {updates} "
-            f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
-        )
-        execute(spark, db, merge_sql)
-        return Merged(expected - matched, matched)
+        matches = f"SELECT COUNT(*) FROM {stage} s JOIN {table} t ON {on}"
+        matched, changed = execute(spark, db, matches, merge_sql(db, stage, table, target.columns, key, mode))
+        return Merged(changed, 0) if mode == "append" else Merged(expected - matched, matched)
     finally:
         execute(spark, db, f"DROP TABLE {stage}")
 
@@ -199,7 +253,6 @@ class DatabaseTable:
     db: Database
     table: str
     key: list[str]
-    text_length: int = 4000
     parts: int | None = None
 
     def exists(self) -> bool:
@@ -207,4 +260,25 @@ class DatabaseTable:
 
     def merge(self, changes: DataFrame, mode: str = "upsert", latest_by: str | None = None, txn: str | None = None) -> Merged:
         latest = latest_per_key(changes, self.key, latest_by) if latest_by else changes
-        return merge_rows(latest, self.db, self.table, self.key, mode, self.text_length, self.parts)
+        return merge_rows(latest, self.db, self.table, self.key, mode, self.parts)
+
+
+# --- Discovery ---------------------------------------------------------------------------------
+
+#: Schemas that databases keep for themselves.
+SYSTEM_SCHEMAS = ("sys", "information_schema", "pg_catalog", "nullid", "sqlj", "syscat", "syscs_diag", "syscs_util", "sysfun", "sysibm", "sysproc", "sysstat")
+
+
+def list_tables(spark: SparkSession, db: Database, schemas: list[str] | None = None) -> list[tuple[str, str]]:
+    """(schema, table) of the user tables of a database, in order, from its own catalog."""
+    catalog = db.catalog(spark)
+    wanted = None if schemas is None else {s.lower() for s in schemas}
+    names = [r[0] for r in spark.sql(f"SHOW NAMESPACES IN `{catalog}`").collect()]
+    kept = [n.strip("`") for n in names]
+    kept = [n for n in kept if (n.lower() in wanted if wanted is not None else n.lower() not in SYSTEM_SCHEMAS)]
+    return sorted((n, r["tableName"]) for n in kept for r in spark.sql(f"SHOW TABLES IN `{catalog}`.`{n}`").collect())
+
+
+def discover(spark: SparkSession, db: Database, schemas: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a database by ``SCHEMA.TABLE``; only their definitions are read."""
+    return {f"{schema}.{table}": read_table(spark, db, f"{schema}.{table}") for schema, table in list_tables(spark, db, schemas)}

@@ -1,9 +1,9 @@
 """Append-only tables with snapshots and time travel, on Parquet.
 
-``data/snapshot_id=<n>/`` holds what snapshot ``n`` added and the commit ledger holds one row per snapshot.
+``data/drayline_snapshot=<n>/`` holds what snapshot ``n`` added and the commit ledger holds one row per snapshot.
 Data is written first and the commit row last. Ids are dense: snapshot ``n+1`` is only written after ``n`` is
 committed, and a failed attempt at ``n+1`` is overwritten by the next one. So "committed" is the plain
-partition predicate ``snapshot_id <= current``; reads need no join and prune folders while planning.
+partition predicate ``drayline_snapshot <= current``; reads need no join and prune folders while planning.
 One writer at a time is assumed.
 """
 
@@ -23,6 +23,10 @@ from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, write_parqu
 from drayline.sources.ledger import Ledger
 
 
+#: The partition column of the data; a table's own columns may have any other name.
+SNAPSHOT = "drayline_snapshot"
+
+
 @dataclass(frozen=True)
 class Appended:
     snapshot_id: int | None
@@ -101,8 +105,10 @@ class SnapshotTable:
         metrics: dict,
         max_records_per_file: int = MAX_RECORDS_PER_FILE,
     ) -> Appended:
+        if SNAPSHOT in (c.lower() for c in df.columns):
+            raise ValueError(f"the column name {SNAPSHOT!r} is reserved")
         snapshot_id = head.snapshot_id + 1 if head else 1
-        folder = f"{self.data}/snapshot_id={snapshot_id}"
+        folder = f"{self.data}/{SNAPSHOT}={snapshot_id}"
         # The metrics are taken in the writing stage itself, whose retried tasks are counted once.
         seen = Observation()
         observed = df.observe(
@@ -138,19 +144,19 @@ class SnapshotTable:
     def read(self) -> DataFrame:
         """All rows of all snapshots, later versions of a key as further rows."""
         head = self.head()
-        return self._rows(head, F.col("snapshot_id") <= head.snapshot_id)
+        return self._rows(head, F.col(SNAPSHOT) <= head.snapshot_id)
 
     def read_as_of(self, snapshot_id: int) -> DataFrame:
         """Rows as they were at a snapshot, in the current schema."""
         head = self.head()
         self._check_known(snapshot_id, head)
-        return self._rows(head, F.col("snapshot_id") <= snapshot_id)
+        return self._rows(head, F.col(SNAPSHOT) <= snapshot_id)
 
     def read_added(self, snapshot_id: int) -> DataFrame:
         """Only the rows one snapshot added."""
         head = self.head()
         self._check_known(snapshot_id, head)
-        return self._rows(head, F.col("snapshot_id") == snapshot_id)
+        return self._rows(head, F.col(SNAPSHOT) == snapshot_id)
 
     def _check_known(self, snapshot_id: int, head: Row) -> None:
         if not 1 <= snapshot_id <= head.snapshot_id:
@@ -158,7 +164,7 @@ class SnapshotTable:
 
     def _rows(self, head: Row, snapshots) -> DataFrame:
         schema = _schema(head)
-        stored = T.StructType(schema.fields + [T.StructField("snapshot_id", T.LongType())])
+        stored = T.StructType(schema.fields + [T.StructField(SNAPSHOT, T.LongType())])
         return self.spark.read.schema(stored).parquet(self.data).where(snapshots).select(schema.names)
 
     def history(self) -> DataFrame:
@@ -171,7 +177,7 @@ class SnapshotTable:
         """Path, bytes, rows and snapshot of each committed data file."""
         head = self.head()
         stats = file_stats(self.spark, self.data)
-        snapshot = F.regexp_extract("file_path", r"/snapshot_id=(\d+)/[^/]*$", 1).cast("long")
+        snapshot = F.regexp_extract("file_path", rf"/{SNAPSHOT}=(\d+)/[^/]*$", 1).cast("long")
         return stats.withColumn("snapshot_id", snapshot).where(F.col("snapshot_id") <= head.snapshot_id)
 
     def validate(self) -> DataFrame:

@@ -130,3 +130,20 @@ def test_csv_is_in_key_order(spark, tmp_path):
     lines = [line for f in sorted(glob.glob(path + "/part-*.csv")) for line in open(f).read().splitlines()]
     assert [int(x.split(",")[0]) for x in lines if x != "id,t"] == list(range(1000))
     assert files.read_csv(spark, path, T.StructType.fromDDL("id bigint, t string")).where("t = 'a,b'").count() == 1000
+
+
+def test_own_day_columns_and_lone_objects(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1999)], "id int, year int")
+    path = str(tmp_path / "own")
+    files.write_run_date(rows, path, "2024-01-05")
+    files.write_run_date(rows, path, "2024-02-05")
+    found = files.read_day_range(spark, path, "2024-01-01", "2024-01-31", rows.schema)
+    assert [tuple(r) for r in found.collect()] == [(1, 1999)] and found.schema["year"].dataType.simpleString() == "int"
+    with pytest.raises(ValueError, match="day folders"):
+        files.write_data_date(rows.withColumn("d", F.lit("2024-01-05").cast("date")), str(tmp_path / "x"), "d")
+    for name, text in (("lone", '{"a": 1}'), ("array", '[{"a": 1, "b": {"c": [2]}}, {"a": null}]')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "rows.json").write_text(text)
+    with pytest.raises(Exception, match="not a JSON array"):
+        files.read_json_rows(spark, str(tmp_path / "lone")).collect()
+    assert sorted(((r.a, r.b) for r in files.read_json_rows(spark, str(tmp_path / "array")).collect()), key=repr) == [(1, '{"c":[2]}'), (None, None)]

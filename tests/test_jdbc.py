@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from drayline.operators.profile import database_profile
 from drayline.sources import jdbc
 
 PEOPLE = "Id int, Name string, Age int"
@@ -57,14 +58,14 @@ def test_timestamps_stay_zone_free(spark, db):
 
 def test_merge_in_the_database(spark, db, people, rows):
     changes = spark.createDataFrame([(1, "Alice Updated", 31), (3, "Charlie", 35)], PEOPLE)
-    assert jdbc.merge_rows(changes, db, "PEOPLE", ["Id"], "upsert", text_length=40) == jdbc.Merged(1, 1)
+    assert jdbc.merge_rows(changes, db, "PEOPLE", ["Id"], "upsert") == jdbc.Merged(1, 1)
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice Updated", 31), (2, "Bob", 25), (3, "Charlie", 35)]
 
 
 def test_merge_makes_missing_columns_null_and_append_leaves_rows(spark, db, people, rows):
     partial = spark.createDataFrame([(2, "Robert")], "Id int, Name string")
-    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "upsert", text_length=40) == jdbc.Merged(0, 1)
-    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "append", text_length=40) == jdbc.Merged(0, 0)
+    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "upsert") == jdbc.Merged(0, 1)
+    assert jdbc.merge_rows(partial, db, "PEOPLE", ["Id"], "append") == jdbc.Merged(0, 0)
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice", 30), (2, "Robert", None)]
 
 
@@ -73,7 +74,7 @@ def test_failed_merge_leaves_the_table_and_no_staging(spark, db, people, rows):
         jdbc.merge_rows(people, db, "PEOPLE", ["Id"], "replace")
     twice = people.unionByName(people)
     with pytest.raises(Exception):
-        jdbc.merge_rows(twice.withColumn("Id", F.col("Id") + 5), db, "PEOPLE", ["Id"], "upsert", text_length=1)
+        jdbc.merge_rows(twice.withColumn("Name", F.repeat("Name", F.lit(20))), db, "PEOPLE", ["Id"], "upsert")
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == rows(people)
 
 
@@ -81,3 +82,34 @@ def test_large_import(spark, db):
     df = spark.range(50_000).select(F.col("id").cast("int").alias("Id"), F.lit("n").alias("Name"), F.lit(1).alias("Age"))
     jdbc.append_rows(df, db, "BIG", text_length=10)
     assert jdbc.count_rows(spark, db, "BIG").first()[0] == 50_000
+
+
+def test_long_text_key_only_tables_and_split_queries(spark, db, rows):
+    jdbc.execute(spark, db, 'CREATE TABLE NOTES ("id" INT NOT NULL, "body" CLOB)', 'CREATE TABLE KEYS ("a" INT, "b" INT)')
+    notes = spark.createDataFrame([(1, "x" * 5000), (2, None)], "id int, body string")
+    assert jdbc.merge_rows(notes, db, "NOTES", ["id"]) == jdbc.Merged(2, 0)
+    assert sorted(len(r.body or "") for r in jdbc.read_table(spark, db, "NOTES").collect()) == [0, 5000]
+    keys = spark.createDataFrame([(i, i % 3) for i in range(40)], "a int, b int")
+    assert jdbc.merge_rows(keys, db, "KEYS", ["a", "b"]) == jdbc.Merged(40, 0)
+    assert jdbc.merge_rows(keys, db, "KEYS", ["a", "b"]) == jdbc.Merged(0, 40)
+    assert jdbc.append_new_rows(keys.unionByName(spark.createDataFrame([(99, 0)], "a int, b int")), db, "KEYS", ["a", "b"]) == 1
+    sql = 'SELECT "a", "b" FROM KEYS WHERE "a" < 90'
+    for split in (jdbc.Split("a", 4), jdbc.Split("a", cuts=(5, 6, 30))):
+        found = jdbc.read_query(spark, db, sql, split)
+        assert found.rdd.getNumPartitions() == 4 and rows(found) == rows(keys)
+    assert jdbc.read_table(spark, db, "KEYS", jdbc.Split("a", cuts=(5, 6, 30))).count() == 41
+
+
+def test_merge_statement_by_dialect():
+    derby, server = jdbc.Database("jdbc:derby:memory:x"), jdbc.Database("jdbc:sqlserver://h;databaseName=d")
+    assert jdbc.merge_sql(server, "S", "T", ["k", "v"], ["k"], "upsert").endswith(";")
+    assert not jdbc.merge_sql(derby, "S", "T", ["k", "v"], ["k"], "upsert").endswith(";")
+    assert "UPDATE" not in jdbc.merge_sql(server, "S", "T", ["k"], ["k"], "upsert")
+    assert jdbc.stage_sql(server, "S", "T").startswith("SELECT TOP 0 * INTO S")
+
+
+def test_discovery(spark, db, people):
+    found = jdbc.discover(spark, db)
+    assert list(found) == ["APP.PEOPLE"]
+    profile = database_profile(spark, found)
+    assert [tuple(r) for r in profile.collect()] == [("APP", "PEOPLE", 2, 3)]

@@ -64,7 +64,7 @@ def test_snapshot_there_and_back(spark, db, tmp_path, rows):
     newer = source.where("Id <= 3").withColumn("Name", F.lit("new")).withColumn("CreatedDate", F.lit("2025-01-01").cast("timestamp_ntz"))
     jobs.to_snapshot(newer, table, fields)
     into = created(source, db, "ITEMS")
-    done = jobs.from_snapshot(table, db, into, ["Id"], "CreatedDate", text_length=60)
+    done = jobs.from_snapshot(table, db, into, ["Id"], "CreatedDate")
     assert done.rows_loaded == 20 and done.dest_count == 20
     assert jdbc.read_table(spark, db, into).where("Name = 'new'").count() == 3
     assert jdbc.count_rows(spark, db, into).first()[0] == 20

@@ -59,12 +59,10 @@ def test_order_and_limits(spark, plan):
     assert row_limit(df, 7).count() == 7
 
 
-def test_large_limit_moves_no_rows(spark, tmp_path, plan):
-    path = str(tmp_path / "t")
-    spark.range(0, 10_000, 1, 7).write.parquet(path)
-    df = spark.read.parquet(path).where("id % 3 <> 0")
-    for n in (1, 1000, 6000, 6666):
-        limited = row_limit(df, n, single_task_rows=0)
-        assert limited.count() == n and limited.distinct().count() == n
-        assert "Exchange" not in plan(limited)
-    assert row_limit(df, 50_000, single_task_rows=0).count() == 6666
+def test_one_limit_for_all_sizes(spark, plan):
+    rows = spark.range(0, 1_200_000, 1, 8).repartition(16, "id")
+    for n in (1, 999_999, 1_000_001):
+        assert row_limit(rows, n).count() == n
+    assert row_limit(rows, 2_000_000).count() == 1_200_000
+    text = plan(row_limit(rows, 1_000_001))
+    assert "CollectLimit" in text and "Window" not in text

@@ -119,12 +119,31 @@ def test_column_stats_is_one_pass(spark, rows, tmp_path, plan):
 
 def test_owner_totals_sum_before_the_join(spark, rows, plan):
     owners = spark.createDataFrame([(1, "a"), (2, "b")], "k long, name string")
-    orders = spark.range(0, 1000).select(F.lit(1).cast("long").alias("o"), "id", F.lit(0.1).alias("amount"))
-    out = summary.order_totals_by_owner(owners, "k", ["name"], orders, "o", "id", "amount")
-    assert [tuple(x) for x in out.collect()] == [(1, "a", 1000, 100.0), (2, "b", 0, 0.0)]
-
-
-def test_empty_account_summary(spark):
-    empty = spark.createDataFrame([], "amount double, on boolean")
-    row = summary.account_summary(empty, "amount", F.col("on")).first()
-    assert row.total_accounts == 0 and row.active_accounts == 0 and row.avg_balance is None
+    orders = spark.range(0, 1000).select(F.lit(1).cast("long").alias("o"), "id", F.lit(0.004).alias("amount"))
+    out = summary.order_totals_by_owner(owners, "k", ["name"], orders, "o", "id", "amount", scale=3)
+    assert [tuple(x) for x in out.collect()] == [(1, "a", 1000, 4.0), (2, "b", 0, 0.0)]
+    unscaled = summary.order_totals_by_owner(owners, "k", ["name"], orders, "o", "id", "amount").first()
+    assert abs(unscaled.amount_ordered - 4.0) < 1e-9
+
+
+def test_totals_keep_every_digit(spark):
+    fine = spark.range(1000).selectExpr("cast(1.0049 as decimal(10,4)) as d", "0.004D as f", "20000000000000000L as big")
+    row = fine.agg(r.total(fine, "d").cast("string").alias("d"), r.total(fine, "f", scale=3).alias("f"), r.total(fine, "big").alias("big"), r.average(fine, "big").alias("mean")).first()
+    assert row.d == "1004.9000" and float(row.f) == 4.0 and int(row.big) == 2 * 10**19 and row.mean == 2e16
+    compared = r.range_compare(fine, fine.limit(0), ["big", "d"], []).orderBy("side").collect()
+    assert compared[0].avg_big == 2e16 and abs(compared[0].avg_d - 1.0049) < 1e-12 and compared[1].avg_big is None
+
+
+def test_conditional_summary(spark):
+    df = spark.createDataFrame([(1.0, True), (2.5, False), (None, True)], "amount double, on boolean")
+    measures = [
+        summary.Measure("n", "rows"),
+        summary.Measure("n_on", "rows", when=F.col("on")),
+        summary.Measure("off_total", "total", "amount", when=~F.col("on")),
+        summary.Measure("mean", "average", "amount"),
+        summary.Measure("top", "greatest", "amount", when=F.col("on")),
+    ]
+    assert tuple(summary.conditional_summary(df, measures).first()) == (3, 2, 2.5, 1.75, 1.0)
+    assert tuple(summary.conditional_summary(df.limit(0), measures).first()) == (0, 0, None, None, None)
+    with pytest.raises(ValueError):
+        summary.conditional_summary(df, [summary.Measure("x", "median", "amount")])

@@ -75,7 +75,7 @@ def test_append_takes_the_table_schema(spark, table, rows):
 
 def test_an_uncommitted_attempt_is_invisible_and_overwritten(spark, table):
     table.create(simple(spark, 1, 5).coalesce(1))
-    simple(spark, 100, 200).write.parquet(f"{table.data}/snapshot_id=2")
+    simple(spark, 100, 200).write.parquet(f"{table.data}/drayline_snapshot=2")
     assert table.read().count() == 5 and table.files().count() == table.head().files_added
     table.append(simple(spark, 6, 8))
     assert table.read().count() == 8
@@ -102,13 +102,21 @@ def test_reads_prune_snapshots_while_planning(spark, table, plan):
     table.create(simple(spark, 1, 5))
     table.append(simple(spark, 6, 8))
     text = plan(table.read_as_of(1))
-    assert "PartitionFilters: [isnotnull(snapshot_id" in text and "<= 1)" in text and "Join" not in text
+    assert "PartitionFilters: [isnotnull(drayline_snapshot" in text and "<= 1)" in text and "Join" not in text
 
 
 def test_validation(spark, table, rows):
     table.create(simple(spark, 1, 5))
     table.append(simple(spark, 6, 8))
     assert all(r.passed for r in table.validate().collect())
-    simple(spark, 1, 1).write.mode("append").parquet(f"{table.data}/snapshot_id=2")
+    simple(spark, 1, 1).write.mode("append").parquet(f"{table.data}/drayline_snapshot=2")
     failing = {r.check_name for r in table.validate().collect() if not r.passed}
     assert failing == {"scanned_equals_committed", "snapshots_differing"}
+
+
+def test_own_columns_keep_their_values(spark, table):
+    rows = spark.createDataFrame([(70, 1), (71, 2)], "snapshot_id long, year int")
+    table.create(rows)
+    assert sorted(r.snapshot_id for r in table.read().collect()) == [70, 71]
+    with pytest.raises(ValueError, match="reserved"):
+        SnapshotTable(spark, table.path + "-other").create(rows.withColumnRenamed("year", "drayline_snapshot"))

@@ -117,3 +117,12 @@ def test_to_utc_follows_daylight_saving(spark):
     df = spark.createDataFrame([("2024-01-10 12:00:00",), ("2024-07-10 12:00:00",)], "t string")
     out = df.select(to_utc(F.col("t").cast("timestamp_ntz"), "America/New_York").alias("u"))
     assert [r.u for r in out.collect()] == [datetime(2024, 1, 10, 17), datetime(2024, 7, 10, 16)]
+
+
+def test_align_ignores_letter_case(spark):
+    df = spark.createDataFrame([(1, "x")], "ID int, V string")
+    out = align(df, T.StructType.fromDDL("id long, v string, w double"))
+    assert [tuple(r) for r in out.collect()] == [(1, "x", None)] and out.columns == ["id", "v", "w"]
+    twice = df.toDF("a", "A")
+    with pytest.raises(ValueError, match="could be any"):
+        align(twice, T.StructType.fromDDL("a int"))

@@ -114,3 +114,13 @@ def test_windows_push_down_for_every_date_type(spark, tmp_path, plan, orders, ki
     assert windowed.count() == 3
     text = plan(windowed)
     assert "GreaterThanOrEqual(OrderDate" in text and "LessThanOrEqual(OrderDate" in text
+
+
+def test_text_days_and_any_number_format(spark):
+    days = spark.createDataFrame([("2024-01-05",), ("2024-01-06",), ("2024-01-12",), ("2024-01-13",)], "d string")
+    assert days.where(date_window("d", "2024-01-05", "2024-01-12")).count() == 3
+    assert days.where(date_window("d", "2024-01-05", "2024-01-05")).count() == 1
+    versions = days.selectExpr("d", "cast(null as string) as e")
+    assert versions.where(scd2_window("d", "2024-01-05", "2024-01-12", "e")).count() == 3
+    assert int_date_value("2024-02-05", "ddMMyyyy") == 5022024 and int_date_value("2024-02-05", "yyMMdd") == 240205
+    assert int_date_value("2024-02-05", "yyyyMMddHHmmss") == 20240205000000
