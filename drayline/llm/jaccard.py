@@ -1,16 +1,17 @@
 """Exact Jaccard join of word-shingle sets in metric space, and the groups of linked documents.
 
-Jaccard distance is a metric, but unrelated texts are all about 1 apart, so Voronoi regions around whole documents would
-replicate nearly every document to every region. The regions are therefore taken in projections of the space: the
-shingles are dealt to the m parts of a size class, and what a document holds of a part is a pivot whose region are the
-documents that hold exactly the same. Two sets that differ in at most k shingles agree in at least m - k parts, and m is
-chosen so that one of these is not empty; a document in which too many parts are empty is dealt anew with another salt.
-A document is replicated to the regions of the next smaller size class where its size lies in the window of both.
-
-In a region every document is compared with the pivot document. Documents linked with it are one component and need no
-comparison among themselves. Where a region keeps several components, documents of different ones are compared when the
-triangle inequality over the pivot and a parity sketch (which never exceeds the true difference) leave it possible. Large
-regions of that kind are first split again, by parts with other salts, and what stays large is joined block by block.
+Jaccard distance is a metric, but unrelated texts are all about 1 apart, so Voronoi regions around sampled documents would
+replicate nearly every document to every region. Regions are therefore found in projections of the space first: the
+shingles are dealt to the m parts of a size class, and documents that hold exactly the same of a part share a cell. Two
+sets that differ in at most k shingles agree in at least m - k parts, and m is chosen so that one of these is not empty; a
+document in which too many parts are empty is dealt anew with another salt. A document is also in the cells of the next
+smaller size class where its size lies in the window of both.
+
+The pivot of a cell is its most central document, the one with the largest cells. The region of a pivot are the documents
+that share a cell with it, so two linked documents meet in a region. Every document is compared with its pivots; those
+linked with a pivot are one component with it and are not compared with each other. For the others the region is joined
+once more, exactly, around its pivot: symmetric differences from the pivot keep the distances between documents, so a
+linked pair shares most of its differences, and a prefix of the differences (new shingles first) finds it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from drayline.llm.components import components
 from drayline.session import workspace
 
 SKETCH_WORDS = 4
-REGION_MEMBERS = 256
-SPLIT_LEVELS = 3
 MAX_SALTS = 200
 
 
@@ -67,7 +66,7 @@ class Cells:
             self.shape[j] = (k + 1 + (int(np.ceil(empty + 2 * np.sqrt(empty))) if k else 0), k)
         return self.shape[j]
 
-    def of(self, shingles: np.ndarray, level: int = 0) -> np.ndarray:
+    def of(self, shingles: np.ndarray) -> np.ndarray:
         n = len(shingles)
         if not n:
             return shingles
@@ -82,7 +81,7 @@ class Cells:
         with np.errstate(over="ignore"):
             for j in classes:
                 m, k = self._parts(j)
-                for salt in range(level * MAX_SALTS, (level + 1) * MAX_SALTS):
+                for salt in range(MAX_SALTS):
                     if salt not in sorted_by_salt:
                         sorted_by_salt[salt] = np.sort(text.mix(shingles ^ text.mix(np.array([salt + 1], dtype=np.uint64))))
                     x = sorted_by_salt[salt]
@@ -147,28 +146,6 @@ def document_cells(docs: DataFrame, threshold: Threshold) -> DataFrame:
     return _rows(docs).mapInArrow(run, "cell long, doc long")
 
 
-def split_cells(members: DataFrame, sets: DataFrame, threshold: Threshold, level: int) -> DataFrame:
-    """Regions within regions: the same linked pairs meet again, by parts with other salts."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Cells(threshold)
-        for batch in batches:
-            found = []
-            for parent, shingles in zip(batch.column("cell").to_pylist(), batch.column("shingles")):
-                inner = cells.of(shingles.values.to_numpy().view(np.uint64), level)
-                found.append(text.mix(inner ^ text.mix(np.array([parent], dtype=np.int64).view(np.uint64))))
-            doc = np.repeat(batch.column("doc").to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(text.signed(np.concatenate(found))), pa.array(doc, pa.int64())], ["cell", "doc"])
-
-    return members.select("cell", "doc").join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("cell", "doc", "shingles").mapInArrow(run, "cell long, doc long")
-
-
-def with_pivot(cells: DataFrame) -> DataFrame:
-    """Regions of two documents or more, each row with the region's pivot (its smallest id) and size."""
-    region = Window.partitionBy("cell")
-    return cells.withColumns({"pivot": F.min("doc").over(region), "last": F.max("doc").over(region), "size": F.count("*").over(region)}).where("pivot <> last").drop("last")
-
-
 class Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, threshold: Threshold) -> None:
         self.spark, self.docs, self.threshold = spark, docs, threshold
@@ -205,31 +182,72 @@ class Join:
     def links(self, measured: DataFrame) -> DataFrame:
         return measured.where(f"{self.threshold.whole} * both >= {self.threshold.part} * either").select("a", "b")
 
-    def open_regions(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Regions that hold several components, each set of members once."""
-        labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        sums = labelled.groupBy("cell").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("docs"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("mark")
-        )
-        one_each = sums.where("low <> high").groupBy("docs", "mark", "low", "high").agg(F.min("cell").alias("cell"))
-        return labelled.join(one_each.select("cell"), "cell")
-
-    def inner_pairs(self, regions: DataFrame, measured: DataFrame) -> DataFrame:
-        """Pairs across components within regions, where the distances to the pivot lie in each other's window."""
+    def regions(self, cells: DataFrame) -> DataFrame:
+        """(pivot, doc) for all documents of all pivots, without the pivot itself."""
+        cell = Window.partitionBy("cell")
+        shared = cells.withColumns({"low": F.min("doc").over(cell), "high": F.max("doc").over(cell), "size": F.count("*").over(cell)}).where("low <> high")
+        members = self.kept(shared.select("cell", "doc", "size"), "cells")
+        central = members.groupBy("doc").agg(F.sum("size").alias("weight"))
+        first = F.max(F.struct("weight", (-F.col("doc")).alias("minus")))
+        pivots = members.join(central, "doc").groupBy("cell").agg(first.alias("first")).select("cell", (-F.col("first.minus")).alias("pivot"))
+        return members.join(pivots, "cell").where("doc <> pivot").select("pivot", "doc").distinct()
+
+    def open_regions(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
+        """(pivot, doc, component, own) of regions in which two documents beside the pivot, not of the same component, may be
+        linked; ``own`` tells that the document is in the pivot's component."""
+        label = labels.withColumnRenamed("component", "label")
+        placed = regions.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("label", "doc")).drop("label")
+        placed = placed.join(label.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("own", F.col("component") == F.coalesce("label", "pivot")).drop("label")
+        several = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot")
+        return placed.join(several, "pivot")
+
+    def differences(self, regions: DataFrame) -> DataFrame:
+        """(pivot, element, doc, component, own, n, apart): a prefix of each document's differences from its pivot.
+
+        With r = (1 - t) / (1 + t), a linked pair differs in at most K = r (nx + ny) shingles and so shares at least
+        (apart x + apart y - K) / 2 of its differences. A document outside the pivot's component needs apart - (1 - t) / t n
+        shared ones with any partner; one inside it needs (1 - r) / 2 apart with any outside, as those are beyond r (n + n
+        pivot) from the pivot. Where nothing needs to be shared, one of the two is within 1 of the pivot, and both carry the
+        element 0. New shingles come first in the order: edits differ, while all who lost a shingle lost the same.
+        """
+        t = self.threshold
+        r = (t.whole - t.part) / (t.whole + t.part)
+        names = ["pivot", "element", "doc", "component", "own", "n", "apart"]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, n, apart = [], [], []
+                for own, x, y in zip(batch.column("own").to_pylist(), batch.column("x"), batch.column("y")):
+                    mine, pivot = x.values.to_numpy(), y.values.to_numpy()
+                    new, lost = np.setdiff1d(mine, pivot, assume_unique=True), np.setdiff1d(pivot, mine, assume_unique=True)
+                    size, most = len(new) + len(lost), t.differences(len(mine))
+                    needed = max(1, int(np.ceil(size * (1 - r) / 2 - 1e-9))) if own else max(1, size - most)
+                    prefix = np.concatenate([np.sort(new), np.sort(lost)])[: size - needed + 1]
+                    if size <= 1 or (not own and size <= most):
+                        prefix = np.append(prefix, 0)
+                    found.append(prefix)
+                    n.append(len(mine))
+                    apart.append(size)
+                if found:
+                    times = [len(f) for f in found]
+                    columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "doc", "component", "own")), np.array(n), np.array(apart)]
+                    pivot, *rest = (pa.array(np.repeat(c, times)) for c in columns)
+                    yield pa.RecordBatch.from_arrays([pivot, pa.array(np.concatenate(found), pa.int64()), *rest], names)
+
+        x, y = (self.sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("doc", "x"), ("pivot", "y")))
+        both = regions.join(x, "doc").join(y, "pivot").select("pivot", "doc", "component", "own", "x", "y")
+        return both.mapInArrow(run, "pivot long, element long, doc long, component long, own boolean, n long, apart long")
+
+    def inner_pairs(self, prefixes: DataFrame) -> DataFrame:
+        """Pairs of different components that share an element in a region and whose distances from the pivot, by the
+        triangle inequality, allow a link."""
         t = self.threshold
-        far = measured.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), (1 - F.col("both") / F.col("either")).alias("apart"))
-        placed = regions.join(far, ["pivot", "doc"], "left").select("cell", "doc", "component", "apart")
-        x, y = (placed.select("cell", *(F.col(c).alias(s + c) for c in ("doc", "component", "apart"))) for s in "xy")
-        window = F.coalesce(F.abs(F.col("xapart") - F.col("yapart")) <= (t.whole - t.part) / t.whole + 1e-9, F.lit(True))
-        met = x.join(y, "cell").where((F.col("xdoc") < F.col("ydoc")) & (F.col("xcomponent") != F.col("ycomponent")) & window)
-        return met.select(F.col("xdoc").alias("a"), F.col("ydoc").alias("b")).distinct()
-
-    def blocks(self, regions: DataFrame) -> DataFrame:
-        """A large region as regions of pairs of its blocks, so that any two of its documents meet in one of bounded size."""
-        count = F.ceil(F.col("size") / REGION_MEMBERS)
-        mine = F.pmod(F.xxhash64("doc"), count)
-        dealt = regions.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        return dealt.withColumn("cell", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other")
+        outside = prefixes.where("not own")
+        x = outside.select("pivot", "element", *(F.col(c).alias("x" + c) for c in ("doc", "component", "n", "apart")))
+        y = prefixes.select("pivot", "element", "own", *(F.col(c).alias("y" + c) for c in ("doc", "component", "n", "apart")))
+        window = F.abs(F.col("xapart") - F.col("yapart")) * (t.whole + t.part) <= (F.col("xn") + F.col("yn")) * (t.whole - t.part)
+        met = x.join(y, ["pivot", "element"]).where((F.col("xcomponent") != F.col("ycomponent")) & (F.col("own") | (F.col("xdoc") < F.col("ydoc"))) & window)
+        return met.select(F.least("xdoc", "ydoc").alias("a"), F.greatest("xdoc", "ydoc").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         t = self.threshold
@@ -239,38 +257,20 @@ class Join:
         one_text = known.groupBy("doc_id").agg(((F.min("fa") == F.max("fa")) & (F.min("fb") == F.max("fb"))).alias("sure")).where("sure").select("doc_id")
         copies = self.kept(known.join(classes, ["fa", "fb", "n"]).where("doc_id <> rep").select("doc_id").join(one_text, "doc_id"), "copies")
         distinct_docs = _rows(self.docs).where("doc_id is not null").join(copies, "doc_id", "left_anti")
-        members = self.kept(with_pivot(document_cells(distinct_docs, t)), "regions")
-        ids = self.kept(members.select(F.col("doc").alias("doc_id")).distinct(), "region-members")
+        regions = self.kept(self.regions(document_cells(distinct_docs, t)), "regions")
+        ids = self.kept(regions.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "region-members")
         self.member_keys = known.join(ids, "doc_id").dropDuplicates(["doc_id", "fa", "fb"])
         self.sets = self.kept(shingle_arrays(_rows(self.docs).join(ids, "doc_id"), t.words).dropDuplicates(["doc_id", "shingles"]), "sets")
-        first = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        measured = self.kept(self.measured(self.possible(first)), "pivot-distances")
-        links = self.kept(self.links(measured), "pivot-links")
+        to_pivots = self.possible(regions.select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
+        links = self.kept(self.links(self.measured(to_pivots)), "pivot-links")
         labels = components(self.spark, links)
-        # copies of one document under several ids or texts share a node, so labels are by node only
-        regions = self.kept(self.open_regions(members, labels), "open-regions")
-        pending, level = regions.where(f"size > {REGION_MEMBERS}"), 0
-        small = [regions.where(f"size <= {REGION_MEMBERS}")]
-        while not pending.isEmpty():
-            level += 1
-            if level > SPLIT_LEVELS:
-                small.append(self.blocks(pending))
-                break
-            inner = with_pivot(split_cells(pending, self.sets, t, level))
-            regions = self.kept(self.open_regions(inner, labels), "open-regions")
-            small.append(regions.where(f"size <= {REGION_MEMBERS}"))
-            pending = regions.where(f"size > {REGION_MEMBERS}")
-        met = small[0]
-        for more in small[1:]:
-            met = met.unionByName(more)
-        if not met.isEmpty():
-            rest = self.possible(self.inner_pairs(met, measured)).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-            found = self.kept(self.links(self.measured(rest)), "inner-links")
-            if not found.isEmpty():
-                labels = components(self.spark, links.unionByName(found))
+        prefixes = self.kept(self.differences(self.open_regions(regions, labels)), "differences")
+        found = self.kept(self.links(self.measured(self.possible(self.inner_pairs(prefixes)))), "inner-links")
+        if not found.isEmpty():
+            labels = components(self.spark, links.unionByName(found))
         rep = F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id")))
         placed = keys.join(classes, ["fa", "fb", "n"], "left").withColumn("node", rep).join(labels, "node", "left")
-        return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "node")), F.col("doc_id")).alias("component_id"))
+        return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "node")), F.col("doc_id"))).alias("component_id"))
 
 
 def linked_documents(spark: SparkSession, docs: DataFrame, similarity_percent: int = 80, words: int = 5) -> DataFrame:
