@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,29 @@ def build_session(app_name: str = "drayline", master: str | None = None, conf: d
         builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
     for key, value in (conf or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    distribute_package(session)
+    return session
+
+
+def distribute_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context.
+
+    Nothing that is Python runs on executors but the operators over texts; their functions are modules of this package,
+    which workers could otherwise import only where it is installed or on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_drayline_sent", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="drayline-code-"), "drayline_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._drayline_sent = True
 
 
 def is_local(spark: SparkSession) -> bool:
