@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drayline.llm import decontamination, jaccard, packing, pii, quality
-from drayline.session import table_path, workspace
+from drayline.session import distribute_package, table_path, workspace
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``; each result is a written table, so a lost executor repeats one stage's
     tasks at most."""
+    distribute_package(spark)
     docs = spark.read.parquet(table_path(sf_dir, "documents"))
     for name, stage in STAGES:
         path = workspace(spark, "stage-" + name.replace(" ", "-"))

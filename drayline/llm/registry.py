@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from drayline.llm import decontamination, hamming, jaccard, language, licenses, linear, maxent, packing, pii, quality, toxicity
-from drayline.session import table_path
+from drayline.session import distribute_package, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    distribute_package(spark)
     return spark.read.parquet(table_path(sf, name))
 
 
