@@ -16,7 +16,7 @@ from drayline.llm.quality import LETTERS
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 16_000
-EPOCHS = 4
+EPOCHS = 8
 PREFIX_BYTES = (4, 5, 6)
 
 
@@ -45,17 +45,28 @@ def graded(rows: list[tuple[int, np.ndarray, np.ndarray]], severe_share: float =
     return [(0 if not y else 2 if h >= cut else 1, at) for (y, at, _), h in zip(rows, hits)]
 
 
+def selected(rows: list[tuple[int, np.ndarray]], least: int = 4, lift: float = 3.0) -> np.ndarray:
+    """Features in at least ``least`` toxic texts of the sample that are ``lift`` times as frequent there as in all texts.
+
+    The words that every text is made of say nothing about a grade; in a long text their small weights would add up."""
+    toxic, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for y, at in rows:
+        every[at] += 1
+        if y:
+            toxic[at] += 1
+    share = max(1, sum(y > 0 for y, _ in rows)) / len(rows)
+    return (toxic >= least) & (toxic >= lift * share * every)
+
+
 def train(labelled: DataFrame, label: str = "label", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and the ordered thresholds from at most about ``sample_rows`` labelled rows. Features in fewer than
-    3 rows of the sample get no weight. Without rows every text has grade 0."""
+    """Shared weights and the ordered thresholds from at most about ``sample_rows`` labelled rows. Only the
+    features that ``selected`` picks get a weight. Without rows every text has grade 0."""
     rows = graded(list(linear.sampled_features(linear.bounded_sample(labelled.where(F.col(label).isNotNull()), sample_rows), label, features)))
     if not rows:
         return np.zeros(BUCKETS, dtype=np.float32), np.array([10.0, 11.0])
-    held = np.zeros(BUCKETS, dtype=np.int64)
-    for _, at in rows:
-        held[at] += 1
-    rows = [(y, at[held[at] >= 3]) for y, at in rows]
-    model = linear.Ftrl(BUCKETS, alpha=0.3, l1=0.3, l2=1e-3)
+    chosen = selected(rows)
+    rows = [(y, at[chosen[at]]) for y, at in rows]
+    model = linear.Ftrl(BUCKETS, alpha=3.0, l1=1.0, l2=1e-3)
     share = [np.clip(np.mean([y > k for y, _ in rows]), 1e-3, 1 - 1e-3) for k in range(2)]
     cuts = np.log((1 - np.array(share)) / np.array(share))
     random, steps = np.random.default_rng(9), np.zeros(2)
@@ -83,8 +94,10 @@ def train(labelled: DataFrame, label: str = "label", sample_rows: int = SAMPLE_R
     return model.weights().astype(np.float32), cuts
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic, p_severe, grade (likeliest) and toxic (0/1) of every whole text.
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], toxic_at: float = 0.3) -> DataFrame:
+    """doc_id, severity (expected grade), p_toxic, p_severe, grade and toxic (0/1) of every whole text.
+
+    Toxic: the likelihood of a grade above 0 is at least ``toxic_at``; the grade is then the likelier of 1 and 2.
 
     A NULL or empty text has no features and gets the likelihoods of the thresholds alone. Ids may be NULL or repeat: one
     result per row. Other columns are not read. An empty table gives no rows.
@@ -94,7 +107,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def finish(sums: np.ndarray) -> list[pa.Array]:
         above = [linear.sigmoid(sums - c) for c in cuts]
         each = np.stack([1 - above[0], above[0] - above[1], above[1]])
-        toxic = above[0] >= 0.5
+        toxic = above[0] >= toxic_at
         grade = np.where(toxic, 1 + (each[2] >= each[1]), 0)
         return [pa.array(above[0] + above[1]), pa.array(above[0]), pa.array(above[1]), pa.array(grade.astype(np.int32)), pa.array(toxic.astype(np.int32))]
 
