@@ -73,10 +73,16 @@ def sampled_features(rows: DataFrame, label: str, featurize: Featurizer) -> Iter
             )
 
     found = rows.select("doc_id", F.col(label).cast("int").alias("label"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, label int, bucket array<int>, value array<float>")
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    for batch in table.to_batches():
-        for y, b, v in zip(batch.column("label").to_pylist(), batch.column("bucket"), batch.column("value")):
-            yield y, b.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)
+    table = found.toArrow().combine_chunks()
+    if not table.num_rows:
+        return
+    doc_id, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+    lists = [table.column(c).chunk(0) for c in ("bucket", "value")]
+    bounds = lists[0].offsets.to_numpy()
+    bucket, value = (c.values.to_numpy() for c in lists)
+    # slices of the collected columns: the sample is held once
+    for i in np.lexsort((label, doc_id)):
+        yield int(label[i]), bucket[bounds[i] : bounds[i + 1]], value[bounds[i] : bounds[i + 1]]
 
 
 def score_rows(docs: DataFrame, featurize: Featurizer, finish: Callable[[np.ndarray], list[pa.Array]], weights: np.ndarray, bias: float, added: str) -> DataFrame:

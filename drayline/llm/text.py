@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240607)
 BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
