@@ -7,8 +7,9 @@ sets that differ in at most k shingles agree in at least m - k parts, and m is c
 document in which too many parts are empty is dealt anew with another salt. A document is also in the cells of the next
 smaller size class where its size lies in the window of both.
 
-The pivot of a cell is its most central document, the one with the largest cells. The region of a pivot are the documents
-that share a cell with it, so two linked documents meet in a region. Every document is compared with its pivots; those
+In a cell of a few documents all are compared, by parity sketches (which never exceed the true difference) and then by
+their sets. The pivot of a larger cell is its most central document, the one with the largest cells. The region of a pivot
+are the documents that share such a cell with it, so two linked documents meet in a small cell or in a region. Every document is compared with its pivots; those
 linked with a pivot are one component with it and are not compared with each other. For the others the region is joined
 once more, exactly, around its pivot: symmetric differences from the pivot keep the distances between documents, so a
 linked pair shares most of its differences, and a prefix of the differences (new shingles first) finds it.
@@ -28,7 +29,11 @@ from drayline.llm import text
 from drayline.llm.components import components
 from drayline.session import workspace
 
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
+#: Documents of cells up to this size are compared with each other by their sketches, those of larger ones around a pivot.
+SMALL_CELL = 8
+#: Rows that go to a Python worker at once, as each may hold two sets.
+BATCH_ROWS = 1_000
 MAX_SALTS = 200
 
 
@@ -151,8 +156,13 @@ class Join:
         self.spark, self.docs, self.threshold = spark, docs, threshold
 
     def kept(self, frame: DataFrame, label: str) -> DataFrame:
-        path = workspace(self.spark, label)
-        frame.write.parquet(path)
+        path, setting = workspace(self.spark, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            frame.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.parquet(path)
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -182,15 +192,25 @@ class Join:
     def links(self, measured: DataFrame) -> DataFrame:
         return measured.where(f"{self.threshold.whole} * both >= {self.threshold.part} * either").select("a", "b")
 
-    def regions(self, cells: DataFrame) -> DataFrame:
-        """(pivot, doc) for all documents of all pivots, without the pivot itself."""
+    def shared_cells(self, cells: DataFrame) -> DataFrame:
+        """(cell, doc, size) of the cells of two documents or more."""
         cell = Window.partitionBy("cell")
-        shared = cells.withColumns({"low": F.min("doc").over(cell), "high": F.max("doc").over(cell), "size": F.count("*").over(cell)}).where("low <> high")
-        members = self.kept(shared.select("cell", "doc", "size"), "cells")
+        shared = cells.withColumns({"low": F.min("doc").over(cell), "high": F.max("doc").over(cell), "size": F.count("*").over(cell)})
+        return shared.where("low <> high").select("cell", "doc", "size")
+
+    def near_each_other(self, members: DataFrame) -> DataFrame:
+        """(a, b) of the small cells. A document meets fewer than ``SMALL_CELL`` others in each."""
+        small = members.where(f"size <= {SMALL_CELL}")
+        a, b = small.select("cell", F.col("doc").alias("a")), small.select("cell", F.col("doc").alias("b"))
+        return a.join(b, "cell").where("a < b").select("a", "b").distinct()
+
+    def regions(self, members: DataFrame) -> DataFrame:
+        """(pivot, doc) for all documents of all pivots of the larger cells, without the pivot itself."""
+        large = members.where(f"size > {SMALL_CELL}")
         central = members.groupBy("doc").agg(F.sum("size").alias("weight"))
         first = F.max(F.struct("weight", (-F.col("doc")).alias("minus")))
-        pivots = members.join(central, "doc").groupBy("cell").agg(first.alias("first")).select("cell", (-F.col("first.minus")).alias("pivot"))
-        return members.join(pivots, "cell").where("doc <> pivot").select("pivot", "doc").distinct()
+        pivots = large.join(central, "doc").groupBy("cell").agg(first.alias("first")).select("cell", (-F.col("first.minus")).alias("pivot"))
+        return large.join(pivots, "cell").where("doc <> pivot").select("pivot", "doc").distinct()
 
     def open_regions(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
         """(pivot, doc, component, own) of regions in which two documents beside the pivot, not of the same component, may be
@@ -257,12 +277,17 @@ class Join:
         one_text = known.groupBy("doc_id").agg(((F.min("fa") == F.max("fa")) & (F.min("fb") == F.max("fb"))).alias("sure")).where("sure").select("doc_id")
         copies = self.kept(known.join(classes, ["fa", "fb", "n"]).where("doc_id <> rep").select("doc_id").join(one_text, "doc_id"), "copies")
         distinct_docs = _rows(self.docs).where("doc_id is not null").join(copies, "doc_id", "left_anti")
-        regions = self.kept(self.regions(document_cells(distinct_docs, t)), "regions")
-        ids = self.kept(regions.select(F.explode(F.array("pivot", "doc")).alias("doc_id")).distinct(), "region-members")
+        members = self.kept(self.shared_cells(document_cells(distinct_docs, t)), "cells")
+        ids = self.kept(members.select(F.col("doc").alias("doc_id")).distinct(), "members")
         self.member_keys = known.join(ids, "doc_id").dropDuplicates(["doc_id", "fa", "fb"])
+        regions = self.kept(self.regions(members), "regions")
+        pivots = regions.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b"))
+        near = self.kept(self.possible(self.near_each_other(members).unionByName(pivots).distinct()), "near")
+        # sets only of documents that still take part
+        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(regions.select(F.explode(F.array("pivot", "doc")).alias("doc_id"))).distinct()
+        ids = self.kept(wanted, "compared")
         self.sets = self.kept(shingle_arrays(_rows(self.docs).join(ids, "doc_id"), t.words).dropDuplicates(["doc_id", "shingles"]), "sets")
-        to_pivots = self.possible(regions.select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-        links = self.kept(self.links(self.measured(to_pivots)), "pivot-links")
+        links = self.kept(self.links(self.measured(near)), "links")
         labels = components(self.spark, links)
         prefixes = self.kept(self.differences(self.open_regions(regions, labels)), "differences")
         found = self.kept(self.links(self.measured(self.possible(self.inner_pairs(prefixes)))), "inner-links")
