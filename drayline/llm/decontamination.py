@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare word n-grams of the test items find passages, local alignment scores them.
+"""Benchmark decontamination: word n-grams of the test items find passages, local alignment scores them.
 
-The items are taken in blocks of bounded size, each against all documents: a first pass counts in how many documents
-every n-gram of the block occurs, and an item's seeds are those that are rare beside the item's other n-grams (so a leaked
-item keeps seeds, however often it was copied). A second pass aligns each item with the passages where its seeds occur.
-Documents are never shuffled.
+The items are taken in blocks of bounded size, each against all documents. All n-grams of an item are its seeds, however
+common they are, so that what is found in a document does not depend on the others. An item is aligned with the passages
+where its seeds occur, unless too few of its words are there for the least score. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -83,55 +82,42 @@ def _hits(w: text.Words, seeds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarra
     return row[maybe], maybe - first[row[maybe]], at
 
 
-def rare_seeds(docs: DataFrame, block: Block) -> Block:
-    """The block with only those seeds of every item whose document count is near the lowest quarter of the item's."""
-    shared = docs.sparkSession.sparkContext.broadcast((block.seeds, block.filter()))
+def _enough(item: np.ndarray, passage: np.ndarray, reach: int, least: float) -> bool:
+    """Whether a part of ``reach`` words can match ``least`` of the item's words, by counts of common words."""
+    wanted = least * len(item) - 1e-9
+    words = np.unique(item)
+    common = words[np.minimum(np.searchsorted(words, passage), len(words) - 1)] == passage
+    if common.sum() < wanted or np.isin(item, passage[common]).sum() < wanted:
+        return False
+    upto = np.concatenate([[0], np.cumsum(common)])
+    return bool((upto[reach:] - upto[:-reach]).max() >= wanted) if len(passage) > reach else True
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, bits = shared.value
-        total = np.zeros(len(seeds), dtype=np.int64)
-        for batch in text.each_chunk(batches):
-            row, _, seed = _hits(text.words(batch.column("text"), PLAIN), seeds, bits)
-            total += np.bincount(np.unique(row * len(seeds) + seed) % len(seeds), minlength=len(seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "docs"])
-
-    found = docs.mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).collect()
-    held = np.zeros(len(block.seeds), dtype=np.int64)
-    for r in found:
-        held[r["seed"]] = r["docs"]
-    of_item: dict[int, list[int]] = defaultdict(list)
-    for seed, places in enumerate(block.places):
-        for item, _ in places:
-            of_item[item].append(seed)
-    most = {item: 4 * np.quantile(held[seeds], 0.25) + 16 for item, seeds in of_item.items()}
-    grams: dict[int, list[tuple[int, int]]] = {}
-    for seed, (h, places) in enumerate(zip(block.seeds.tolist(), block.places)):
-        rare = [p for p in places if held[seed] <= most[p[0]]]
-        if rare:
-            grams[h] = rare
-    return _block(block.ids, block.words, grams)
-
-
-def _best(doc: np.ndarray, item: np.ndarray, places: list[int]) -> align.Alignment:
-    """The best alignment of an item with the passages around these places of the document."""
+
+def _best(doc: np.ndarray, item: np.ndarray, places: list[int], least: float) -> align.Alignment:
+    """The best alignment of an item with the passages around these places of the document, if it has the least score.
+
+    With a score of ``least`` or more, an alignment has at most 2 (1 - least) of the item's length in gaps.
+    """
     n, best, k = len(item), align.NONE, 0
+    reach = n + int(align.MATCH * n * (1 - least)) + 1
     places.sort()
     while k < len(places) and best.score < align.MATCH * n:
         last = k
-        while last + 1 < len(places) and places[last + 1] - places[last] <= n and places[last + 1] - places[k] <= 3 * n:
+        while last + 1 < len(places) and places[last + 1] - places[last] <= reach and places[last + 1] - places[k] <= 3 * n:
             last += 1
-        low, high = max(0, places[k] - n - 4), places[last] + n + SEED_WORDS + 4
-        found = align.smith_waterman(item, doc[low:high])
-        if found.score > best.score:
-            best = align.Alignment(found.score, found.matched, found.a_start, found.a_end, found.b_start + low, found.b_end + low)
+        low, high = max(0, places[k] - reach), places[last] + reach + SEED_WORDS
+        if _enough(item, doc[low:high], reach, least):
+            found = align.smith_waterman(item, doc[low:high])
+            if found.score > best.score:
+                best = align.Alignment(found.score, found.matched, found.a_start, found.a_end, found.b_start + low, found.b_end + low)
         k = last + 1
     return best
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document and item whose alignment score is at least ``least`` of that of an exact copy (all of it for an
-    item of fewer than 8 words): doc_id, item_id, score, matched_words, item_words, start_word, end_word.
+    item of fewer than 8 words): doc_id, item_id, score, matched_words, item_words, start_word, end_word. The two have
+    three consecutive words in common; without these nothing is aligned.
 
     Words are runs of letters and digits, lower-cased. NULL or empty texts and items, and items without a word, match
     nothing. Ids may repeat: each row of either side is matched by itself. A NULL doc_id is kept as such. Other columns are
@@ -143,7 +129,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, least:
         block = item_block(some)
         if not len(block.seeds):
             continue
-        found = rows.mapInArrow(_aligner(rare_seeds(rows, block), spark, least), RESULT)
+        found = rows.mapInArrow(_aligner(block, spark, least), RESULT)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], RESULT) if out is None else out
 
@@ -162,9 +148,10 @@ def _aligner(block: Block, spark: SparkSession, least: float):
             out = []
             for (row, item), places in met.items():
                 words = block.words[item]
-                best = _best(w.hashes[w.first[row] : w.first[row + 1]], words, places)
+                wanted = least if len(words) >= SHORT_ITEM else 1.0
+                best = _best(w.hashes[w.first[row] : w.first[row + 1]], words, places, wanted)
                 score = best.score / (align.MATCH * len(words))
-                if score >= (least if len(words) >= SHORT_ITEM else 1.0):
+                if score >= wanted:
                     out.append((batch.column("doc_id")[row].as_py(), block.ids[item], score, best.matched, len(words), best.b_start, best.b_end))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             columns = list(zip(*out)) if out else [()] * len(kinds)
