@@ -1,10 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+import textwrap
 
 import pytest
 
-from drayline.llm import decontamination
+from drayline.llm import decontamination, licenses
+from drayline.llm.license_texts import TEXTS
 
 
 # --- Decontamination ---------------------------------------------------------------------------
@@ -32,3 +34,20 @@ def test_copies_with_many_insertions_are_found_whole(spark):
     items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     found = decontamination.contaminated(spark, frame, items).collect()
     assert [(r.doc_id, r.matched_words, r.end_word) for r in found] == [(1, 40, len(spread))]
+
+
+# --- Licenses ----------------------------------------------------------------------------------
+
+
+def test_whole_license_texts_and_headers_are_told_apart(spark):
+    names = [n for n in TEXTS if n.endswith(("-whole", "-header")) and len(TEXTS[n]) < 20_000]
+    wrapped = lambda t: "\n".join(f" * {line}" for line in textwrap.wrap(t, 60))
+    rows = [(i, "Copyright 2020 A. Person\n" + wrapped(TEXTS[n]) + "\nend") for i, n in enumerate(names)]
+    rows += [(1000, licenses.NOTICES["BSD"]), (1001, licenses.NOTICES["MIT-text"]), (1002, "Licensed under the Apache License, Version 2.0.")]
+    rows += [(1003, TEXTS["BSD-3-Clause-whole"].replace("copyright holder nor", "University nor").replace("COPYRIGHT HOLDERS AND", "REGENTS AND"))]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert sorted((r.doc_id, r.license) for r in found) == [*enumerate(names), (1000, "BSD"), (1001, "MIT-text"), (1002, "Apache-2.0"), (1003, "BSD-3-Clause-whole")]
+    for r in found:
+        if r.doc_id < 1000:
+            assert r.coverage == 1.0 and r.end - r.start > len(TEXTS[names[r.doc_id]]) - 8 and "Copyright 2020" not in texts[r.doc_id][r.start : r.end]
