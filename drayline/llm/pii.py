@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Base kinds (email, ip, card, phone) are patterns with checks. Beside them every word that holds a digit or an @ is a
-candidate on which regex, gazetteer and context labelers vote (1 personal, -1 not, 0 abstains). Expectation maximisation
+Base kinds (email, ip, card, phone) are patterns with checks. Beside them every word that holds a digit or an @, and
+every value assigned to a secret cue (``password=x``, ``token = x``), is a candidate on which regex, gazetteer and context labelers vote (1 personal, -1 not, 0 abstains). Expectation maximisation
 over the counted vote patterns estimates how reliable each labeler is; its posteriors train a logistic span classifier on
 the candidate's shape and context, which decides on the candidates that no base span touches (kind ``secret``).
 
@@ -33,7 +33,12 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?:\A|(?<=[ \t-\r]))[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+CUE = r"(?i:password|passwd|pwd|secret|token|api_?key)"
+CANDIDATE = (
+    r"(?:\A|(?<=[ \t-\r]))(?:[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"  # a word with a digit or an @
+    rf"|[^ \t-\rA-Za-z0-9]*+{CUE}[^ \t-\rA-Za-z0-9=:]*+[=:][^ \t-\r]++"  # a cue with its value
+    rf"|(?<={CUE}[\"']{{0,1}}[ \t]{{0,2}}[=:][ \t]{{1,2}})[^ \t-\r]++)"  # the value after a cue
+)
 CONTEXT = 24
 
 Test = Callable[[Column, Column], Column]
@@ -149,7 +154,7 @@ def annotated(docs: DataFrame) -> DataFrame:
         if NEEDS[kind]:
             worth &= text.contains(NEEDS[kind])
         out = out.withColumn(f"pii_{kind}", F.when(worth, F.filter(found(text, PATTERNS[kind]), _checked(kind))).otherwise(none))
-    return out.withColumn("pii_candidate", F.when(F.col("pii_digit") | text.contains("@"), found(text, CANDIDATE)).otherwise(none)).drop("pii_digit")
+    return out.withColumn("pii_candidate", F.when(F.col("pii_digit") | text.contains("@") | text.rlike(CUE), found(text, CANDIDATE)).otherwise(none)).drop("pii_digit")
 
 
 def _patterns(candidates: DataFrame) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:

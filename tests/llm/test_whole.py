@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from drayline.llm import decontamination, licenses
+from drayline.llm import decontamination, licenses, pii
 from drayline.llm.license_texts import TEXTS
 
 
@@ -51,3 +51,16 @@ def test_whole_license_texts_and_headers_are_told_apart(spark):
     for r in found:
         if r.doc_id < 1000:
             assert r.coverage == 1.0 and r.end - r.start > len(TEXTS[names[r.doc_id]]) - 8 and "Copyright 2020" not in texts[r.doc_id][r.start : r.end]
+
+
+# --- Personal data -----------------------------------------------------------------------------
+
+
+def test_secrets_without_digits_are_found(spark):
+    given = ["set password=correcthorse now", "and api_key: abcdefgh there", "then token = abcdefgh ends", "PWD: Correct!horse", "the token was lost and the secret kept"]
+    rows = [(i, t) for i, t in enumerate(given)] + [(100 + i, f"key token = {'ab' * 12}{i} in volume {i} page {i} of 1999") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.hit for s in r.secret] for r in pii.spans(spark, df).collect()}
+    assert [found[i] for i in range(5)] == [["password=correcthorse"], ["abcdefgh"], ["abcdefgh"], ["Correct!horse"], []]
+    clean = {r.doc_id: r.text for r in pii.redact(spark, df).collect()}
+    assert clean[2] == "then token = [secret] ends" and clean[4] == given[4]
