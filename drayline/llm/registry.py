@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import decontamination, hamming, jaccard, language, licenses, linear, maxent, packing, pii, quality, toxicity
+from drayline.llm import clustering, decontamination, hamming, jaccard, language, lexical, licenses, linear, maxent, packing, pii, quality, toxicity
 from drayline.session import distribute_package, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", (linear.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.with_inertia(spark, *clustering.cluster(spark, table(spark, sf, "embeddings")))
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -75,8 +83,60 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lexical_search": op12_lexical_search,
 }
+def clustering_sql(clusters: int = 8, rounds: int = 10, scale: int = 1024, dimensions: int = 64) -> str:
+    """The same rounds as a chain of common table expressions."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions})""",
+        f"""c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= {clusters})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT n, vec_id, v, c, d FROM (
+                SELECT k.n, k.vec_id, k.v, z.c, list_sum(list_transform(list_zip(k.v, z.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+                FROM kept k CROSS JOIN c{r} z)
+            QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+            SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN (
+                SELECT c, list(f ORDER BY i) AS v FROM (
+                    SELECT c, i, CAST((s - ((s % t) + t) % t) // t AS BIGINT) AS f FROM (
+                        SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS t
+                        FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i)) GROUP BY c) m ON m.c = o.c)"""
+            )
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT a.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} z ON z.c = a.c"""
+
+
+TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS t FROM documents),
+        s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS held FROM d),
+        m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(t) * docs) // held) AS m FROM d, s),
+        i AS MATERIALIZED (SELECT q, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS q, item_id, {TERMS_SQL} AS t FROM benchmark)),
+        f AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+        scored AS (
+            SELECT i.q, any_value(i.item_id) AS item_id, m.r, any_value(m.doc_id) AS doc_id,
+                   CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) AS BIGINT) AS score
+            FROM i JOIN f ON f.term = i.term JOIN w ON w.term = i.term JOIN m ON m.r = f.r GROUP BY i.q, m.r)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""",
+    "op11_centroid_clustering": clustering_sql(),
     "op5_hamming_top_k": """
         WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: (coalesce(x, 0) > 0)::INT) AS bits FROM embeddings WHERE embedding IS NOT NULL),
         pairs AS (
