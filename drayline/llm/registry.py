@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayline.llm import clustering, decontamination, hamming, jaccard, language, lexical, licenses, linear, maxent, packing, pii, quality, toxicity
+from drayline.llm import bpe, clustering, decontamination, hamming, jaccard, language, lexical, licenses, linear, maxent, packing, pii, quality, toxicity
 from drayline.session import distribute_package, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.rank(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_lexical_search": op12_lexical_search,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 def clustering_sql(clusters: int = 8, rounds: int = 10, scale: int = 1024, dimensions: int = 64) -> str:
     """The same rounds as a chain of common table expressions."""
