@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drayline.operators.projection import align
+from drayline.operators.projection import align, free_name
 
 # Merge mode names.
 MERGE_MODES = ("append", "upsert")
@@ -26,8 +26,20 @@ def latest_per_key(df: DataFrame, key: list[str], by: str, ties: list[str] | Non
     """
     rest = ties if ties is not None else [c for c in df.columns if c not in key and c != by]
     order = [F.desc_nulls_last(c) for c in [by, *rest]]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    rank, name = F.row_number().over(Window.partitionBy(*key).orderBy(*order)), free_name(df.columns, "_rank")
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
+
+
+def is_newer(mark: Column, than: Column) -> Column:
+    """Whether one mark is above another; a NULL mark is below all others. Never NULL."""
+    return F.coalesce(mark > than, mark.isNotNull() & than.isNull())
+
+
+def stale_keys(target: DataFrame, changes: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Keys of the changes whose row in the target has a higher ``by``. Two columns of the target are read, besides the key's."""
+    stored, arriving = free_name([*key, by], "_stored"), free_name([*key, by], "_arriving")
+    both = changes.select(*key, F.col(by).alias(arriving)).join(target.select(*key, F.col(by).alias(stored)), key)
+    return both.where(is_newer(F.col(stored), F.col(arriving))).select(*key)
 
 
 def has_null_key(key: list[str]) -> Column:
@@ -55,24 +67,30 @@ def merge_append(target: DataFrame, changes: DataFrame, key: list[str]) -> DataF
     return target.unionByName(new_rows(target, aligned, key))
 
 
-def merge_upsert(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+def merge_upsert(target: DataFrame, changes: DataFrame, key: list[str], latest_by: str | None = None) -> DataFrame:
     """Replace rows whose key is in ``changes`` and add the others. Nothing is deleted.
 
-    ``changes`` holds one row per key (see ``latest_per_key``). Adaptive execution broadcasts its keys
-    when they turn out small, and otherwise splits a skewed target partition.
+    ``changes`` holds one row per key (see ``latest_per_key``). With ``latest_by`` a row whose stored version has a higher
+    value stays as it is; at equal values the change replaces it, and NULL is below all. Adaptive execution
+    broadcasts the changed keys when they turn out small, and otherwise splits a skewed target partition.
     """
     aligned = align(changes, target.schema)
+    if latest_by:
+        aligned = aligned.join(stale_keys(target, aligned, key, latest_by), key, "left_anti").select(target.columns)
     kept = target.join(aligned.select(*key), key, "left_anti").select(target.columns)
     return kept.unionByName(aligned)
 
 
-def merge(target: DataFrame, changes: DataFrame, key: list[str], mode: str) -> DataFrame:
-    return (merge_upsert if merge_mode(mode) == "upsert" else merge_append)(target, changes, key)
+def merge(target: DataFrame, changes: DataFrame, key: list[str], mode: str, latest_by: str | None = None) -> DataFrame:
+    """Either merge; ``latest_by`` first keeps the newest change of each key, and lets an upsert skip older ones."""
+    changes = latest_per_key(changes, key, latest_by) if latest_by else changes
+    return merge_upsert(target, changes, key, latest_by) if merge_mode(mode) == "upsert" else merge_append(target, changes, key)
 
 
 def merge_action_counts(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """INSERT and UPDATE row counts of an upsert. A match counts as UPDATE even when nothing differs."""
-    present = target.select(*key).withColumn("_present", F.lit(True))
-    action = F.when(F.col("_present"), F.lit("UPDATE")).otherwise(F.lit("INSERT"))
+    name = free_name(key, "_present")
+    present = target.select(*key).withColumn(name, F.lit(True))
+    action = F.when(F.col(name), F.lit("UPDATE")).otherwise(F.lit("INSERT"))
     joined = changes.select(*key).join(present, key, "left")
     return joined.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("row_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,14 @@ from drayline.functions.types import Field, canonical, required_default
 from drayline.functions.windows import window_and_where
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """A column name like ``wanted`` that none of the given ones has, in whatever case."""
+    names = {t.lower() for t in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def extract(
     df: DataFrame,
     window: Column,

@@ -531,6 +531,28 @@ def keyed_table_upsert(spark, sf):
     return target.read()
 
 
+def revised_base(spark: SparkSession, sf: str) -> DataFrame:
+    return orders_base(spark, sf).withColumn("revision", F.lit(5).cast("long"))
+
+
+def late_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of which about half are older revisions than what an earlier load brought, and a tenth the same ones."""
+    return orders_changes(spark, sf).withColumn("revision", F.col("o_orderkey") % 10)
+
+
+LATE_SQL = f"""
+WITH base AS (SELECT *, CAST(5 AS BIGINT) AS revision FROM ({BASE_SQL})),
+     changes AS (SELECT *, o_orderkey % 10 AS revision FROM ({CHANGES_SQL})),
+     applied AS (SELECT c.* FROM changes c LEFT JOIN base b ON b.o_orderkey = c.o_orderkey WHERE b.revision IS NULL OR c.revision >= b.revision)
+SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM applied a WHERE a.o_orderkey = b.o_orderkey)
+UNION ALL SELECT * FROM applied"""
+
+
+@query("merge_upsert_late", LATE_SQL)
+def merge_upsert_late(spark, sf):
+    return merge.merge(revised_base(spark, sf), late_changes(spark, sf), ["o_orderkey"], "upsert", latest_by="revision")
+
+
 @query(
     "merge_action_counts",
     f"""WITH base AS ({BASE_SQL}), changes AS ({CHANGES_SQL})
@@ -1122,6 +1144,32 @@ def stream_upsert(spark, sf):
     return target.read().drop("revision")
 
 
+def _stream_late(spark: SparkSession, sf: str, root: str, target: KeyedTable | jdbc.DatabaseTable) -> None:
+    """Three runs of a stream: a load, changes with older revisions among them, and drafts that are older than everything."""
+    base, changes = revised_base(spark, sf), late_changes(spark, sf)
+    drafts = base.unionByName(changes).withColumns({"o_totalprice": F.lit(0.0), "revision": F.lit(-1).cast("long")})
+    for i, rows in enumerate([base, changes, drafts]):
+        files.write_parquet(rows, f"{root}/arrivals/{i}")
+        arriving = streams.arriving_parquet(spark, f"{root}/arrivals", rows.schema)
+        streams.drain(streams.stream_upsert(arriving, target, "revision", f"{root}/checkpoint", f"late-{uuid.uuid4().hex}"))
+
+
+@query("stream_upsert_late", LATE_SQL)
+def stream_upsert_late(spark, sf):
+    root = workspace(spark, "stream-late")
+    target = KeyedTable(spark, f"{root}/target", ["o_orderkey"], HashBuckets(8))
+    _stream_late(spark, sf, root, target)
+    return target.read()
+
+
+@query("stream_upsert_late_database", LATE_SQL)
+def stream_upsert_late_database(spark, sf):
+    db = database(spark)
+    into = database_table(db, revised_base(spark, sf), "orders_late", key="o_orderkey", empty=True)
+    _stream_late(spark, sf, workspace(spark, "stream-late-db"), jdbc.DatabaseTable(db, into, ["o_orderkey"]))
+    return jdbc.read_table(spark, db, into)
+
+
 # --- Transfer jobs -----------------------------------------------------------------------------
 
 

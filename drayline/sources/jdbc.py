@@ -195,6 +195,7 @@ def execute(spark: SparkSession, db: Database, *statements: str) -> list[int]:
 class Merged:
     inserted: int
     updated: int
+    stale: int = 0  # changes that were older than the stored row
 
 
 def _is_sql_server(db: Database) -> bool:
@@ -208,7 +209,13 @@ def stage_sql(db: Database, stage: str, table: str) -> str:
     return f"CREATE TABLE {stage} AS SELECT * FROM {table} WITH NO DATA"
 
 
-def merge_sql(db: Database, stage: str, table: str, columns: list[str], key: list[str], mode: str) -> str:
+def not_newer_sql(latest_by: str) -> str:
+    """Condition that the stored row is not above the staged one; a NULL is below all others."""
+    c = quoted(latest_by)
+    return f"(t.{c} IS NULL OR s.{c} >= t.{c})"
+
+
+def merge_sql(db: Database, stage: str, table: str, columns: list[str], key: list[str], mode: str, latest_by: str | None = None) -> str:
     """The statement that applies a staged change set, in the database's dialect."""
     on = " AND ".join(f"t.{quoted(c)} = s.{quoted(c)}" for c in key)
     names, values = ", ".join(map(quoted, columns)), ", ".join(f"s.{quoted(c)}" for c in columns)
@@ -216,16 +223,20 @@ def merge_sql(db: Database, stage: str, table: str, columns: list[str], key: lis
         return f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} s WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {on})"
     others = [c for c in columns if c not in key]
     updates = ", ".join(f"{quoted(c)} = s.{quoted(c)}" for c in others)
-    matched = f"WHEN MATCHED THEN UPDATE SET {updates} " if others else ""
+    guard = f" AND {not_newer_sql(latest_by)}" if latest_by else ""
+    matched = f"WHEN MATCHED{guard} THEN UPDATE SET {updates} " if others else ""
     end = ";" if _is_sql_server(db) else ""
     return f"MERGE INTO {table} t USING {stage} s ON {on} {matched}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values}){end}"
 
 
-def merge_rows(df: DataFrame, db: Database, table: str, key: list[str], mode: str = "upsert", parts: int | None = None) -> Merged:
+def merge_rows(
+    df: DataFrame, db: Database, table: str, key: list[str], mode: str = "upsert", parts: int | None = None, latest_by: str | None = None
+) -> Merged:
     """Stage a change set beside the table and let the database merge it.
 
     Only the changes travel. They take the table's columns and types, so a column they lack becomes NULL on update.
-    ``upsert`` needs one row per key. The staged count is checked first, so a retried staging task cannot slip its rows in
+    ``upsert`` needs one row per key; with ``latest_by`` a change below the stored row's value leaves that row as it is, one at
+    an equal value replaces it. The staged count is checked first, so a retried staging task cannot slip its rows in
     twice; matches are counted in the transaction of the merge.
     """
     spark, mode = df.sparkSession, merge_mode(mode)
@@ -240,8 +251,9 @@ def merge_rows(df: DataFrame, db: Database, table: str, key: list[str], mode: st
         if execute(spark, db, f"SELECT COUNT(*) FROM {stage}")[0] != expected:
             raise RuntimeError(f"staging {table} was written more than once; run the merge again")
         matches = f"SELECT COUNT(*) FROM {stage} s JOIN {table} t ON {on}"
-        matched, changed = execute(spark, db, matches, merge_sql(db, stage, table, target.columns, key, mode))
-        return Merged(changed, 0) if mode == "append" else Merged(expected - matched, matched)
+        current = f"{matches} AND {not_newer_sql(latest_by)}" if latest_by and mode == "upsert" else matches
+        matched, updated, changed = execute(spark, db, matches, current, merge_sql(db, stage, table, target.columns, key, mode, latest_by))
+        return Merged(changed, 0) if mode == "append" else Merged(expected - matched, updated, matched - updated)
     finally:
         execute(spark, db, f"DROP TABLE {stage}")
 
@@ -258,9 +270,12 @@ class DatabaseTable:
     def exists(self) -> bool:
         return True
 
-    def merge(self, changes: DataFrame, mode: str = "upsert", latest_by: str | None = None, txn: str | None = None) -> Merged:
+    def merge(
+        self, changes: DataFrame, mode: str = "upsert", latest_by: str | None = None, txn: str | None = None, in_order: bool = False
+    ) -> Merged:
+        """As ``KeyedTable.merge``; the database compares the staged rows with its own in any case."""
         latest = latest_per_key(changes, self.key, latest_by) if latest_by else changes
-        return merge_rows(latest, self.db, self.table, self.key, mode, self.parts)
+        return merge_rows(latest, self.db, self.table, self.key, mode, self.parts, latest_by)
 
 
 # --- Discovery ---------------------------------------------------------------------------------

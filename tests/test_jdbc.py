@@ -69,6 +69,15 @@ def test_merge_makes_missing_columns_null_and_append_leaves_rows(spark, db, peop
     assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice", 30), (2, "Robert", None)]
 
 
+def test_older_rows_do_not_undo_newer_ones(spark, db, people, rows):
+    table = jdbc.DatabaseTable(db, "PEOPLE", ["Id"])
+    late = spark.createDataFrame([(1, "Younger", 29), (2, "Same", 25), (2, "Lower", 3), (4, "New", None)], PEOPLE)
+    assert table.merge(late, latest_by="Age") == jdbc.Merged(1, 1, 1)
+    assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice", 30), (2, "Same", 25), (4, "New", None)]
+    assert table.merge(spark.createDataFrame([(4, "Marked", 0), (1, "None", None)], PEOPLE), latest_by="Age") == jdbc.Merged(0, 1, 1)
+    assert rows(jdbc.read_table(spark, db, "PEOPLE")) == [(1, "Alice", 30), (2, "Same", 25), (4, "Marked", 0)]
+
+
 def test_failed_merge_leaves_the_table_and_no_staging(spark, db, people, rows):
     with pytest.raises(ValueError):
         jdbc.merge_rows(people, db, "PEOPLE", ["Id"], "replace")

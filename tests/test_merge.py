@@ -78,3 +78,16 @@ def test_merge_plans_have_no_python_and_one_side_read_for_keys_only(spark, plan,
     text = plan(merge.merge_upsert(target, source, ["Id"]))
     assert "LeftAnti" in text and "Python" not in text
     assert "ReadSchema: struct<Id:int>" in text
+
+
+def test_older_changes_leave_newer_rows(spark, rows):
+    target = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "c", None), (4, "d", 5)], "id int, name string, rev int")
+    changes = spark.createDataFrame([(1, "old", 4), (2, "same", 5), (3, "any", 0), (4, "none", None), (5, "new", None), (1, "older", 3)], target.schema)
+    got = rows(merge.merge(target, changes, ["id"], "upsert", latest_by="rev"))
+    assert got == [(1, "a", 5), (2, "same", 5), (3, "any", 0), (4, "d", 5), (5, "new", None)]
+
+
+def test_helper_columns_give_way_to_those_of_the_table(spark, rows):
+    df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "_present int, _rank int, v string")
+    assert rows(merge.latest_per_key(df, ["_present"], "_rank")) == [(1, 2, "y")]
+    assert rows(merge.merge_action_counts(df.limit(1), df.limit(1), ["_present"])) == [("UPDATE", 1)]
