@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from drayline.functions import scalars
 from drayline.functions.types import Field
 from drayline.functions.windows import date_window, int_date_window, make_window, scd2_window, window_and_where
-from drayline.operators import merge, profile, projection, reconcile, summary
+from drayline.operators import digest, merge, profile, projection, reconcile, summary
 from drayline.plans import jobs
 from drayline.session import is_local, local_rows, table_path, workspace
 from drayline.sources import files, jdbc
@@ -612,6 +612,48 @@ def reconcile_inner(spark, sf):
     return _int_counts(reconcile.reconcile_inner(source, target, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]))
 
 
+def drifted_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A copy of the orders that has drifted in two places: changed prices, a missing one, and rows that are gone or too many."""
+    key, orders = F.col("o_orderkey"), table(spark, sf, "orders")
+    changed = key.between(200, 230)
+    price = F.when(key != 205, F.when(changed, F.col("o_totalprice") + 1.0).otherwise(F.col("o_totalprice")))
+    copy = orders.where(~key.between(900, 909)).withColumn("o_totalprice", price)
+    return copy.unionByName(orders.where(key.between(310, 312)).withColumn("o_orderkey", -key))
+
+
+DRIFT_SQL = """
+WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+                  CASE WHEN o_orderkey = 205 THEN NULL WHEN o_orderkey BETWEEN 200 AND 230 THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice
+           FROM orders WHERE o_orderkey NOT BETWEEN 900 AND 909
+           UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey BETWEEN 310 AND 312)
+SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
+       s.o_orderstatus AS o_orderstatus_source, t.o_orderstatus AS o_orderstatus_target,
+       s.o_totalprice AS o_totalprice_source, t.o_totalprice AS o_totalprice_target,
+       CASE WHEN s.o_orderkey IS NULL THEN 0 ELSE 1 END AS source_rows,
+       CASE WHEN t.o_orderkey IS NULL THEN 0 ELSE 1 END AS target_rows, 'MISMATCH' AS status
+FROM orders s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey
+WHERE (s.o_orderstatus = t.o_orderstatus AND s.o_totalprice = t.o_totalprice) IS NOT TRUE"""
+
+
+@query("reconcile_by_digest", DRIFT_SQL)
+def reconcile_by_digest(spark, sf):
+    source, target = digest.FrameSide(table(spark, sf, "orders")), digest.FrameSide(drifted_orders(spark, sf))
+    return _int_counts(digest.reconcile_by_digest(source, target, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], leaf_rows=100)[0])
+
+
+@query("reconcile_by_digest_database", DRIFT_SQL)
+def reconcile_by_digest_database(spark, sf):
+    """The copy is a database table, which sums itself up."""
+    db, texts = database(spark), {"o_totalprice": digest.hundredths()}
+    spelled = digest.DERBY if ":derby:" in db.url else digest.SQL_SERVER
+    for function in spelled.functions:
+        jdbc.execute(spark, db, function)
+    name = database_table(db, drifted_orders(spark, sf), "orders_drift")
+    source = digest.FrameSide(table(spark, sf, "orders"), texts)
+    target = digest.DatabaseSide(spark, db, name, spelled, texts)
+    return _int_counts(digest.reconcile_by_digest(source, target, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], leaf_rows=100)[0])
+
+
 @query(
     "customer_order_summary",
     """SELECT c.c_custkey, c.c_name, c.c_acctbal, count(o.o_orderkey) AS orders_placed,
