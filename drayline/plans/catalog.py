@@ -282,6 +282,36 @@ def snapshot_as_of(spark, sf):
     return _orders_log(spark, sf).read_as_of(2)
 
 
+def _evolving_log(spark: SparkSession, sf: str) -> SnapshotTable:
+    """Orders in three loads: before the second a column is renamed and one widened, before the third two columns are added, one under
+    the name that was given up."""
+    log, orders = SnapshotTable(spark, workspace(spark, "evolving")), table(spark, sf, "orders")
+    rows = orders.select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), "o_orderstatus", "o_orderdate")
+    log.create(rows.where("o_orderdate < '1997-01-01'"))
+    log.evolve(rename={"o_orderstatus": "state"}, widen={"o_custkey": T.LongType()})
+    later = rows.withColumnRenamed("o_orderstatus", "state").withColumn("o_custkey", F.col("o_custkey") + 3_000_000_000)
+    log.append(later.where("o_orderdate >= '1997-01-01' AND o_orderdate < '2000-01-01'"))
+    newest = later.withColumns({"o_orderstatus": F.lit("new"), "half": F.col("o_orderkey") / 2})
+    log.append_evolving(newest.where("o_orderdate >= '2000-01-01'"))
+    return log
+
+
+_EVOLVED_SQL = """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN o_custkey ELSE o_custkey + 3000000000 END AS o_custkey,
+       o_orderstatus AS state, o_orderdate, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'new' END AS o_orderstatus,
+       CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN o_orderkey / 2 END AS half FROM orders"""
+
+
+@query("snapshot_evolved_current", _EVOLVED_SQL)
+def snapshot_evolved_current(spark, sf):
+    return _evolving_log(spark, sf).read()
+
+
+@query("snapshot_evolved_as_of", f"SELECT o_orderkey, o_custkey, state, o_orderdate FROM ({_EVOLVED_SQL}) WHERE o_orderdate < TIMESTAMP '2000-01-01'")
+def snapshot_evolved_as_of(spark, sf):
+    """The first two loads, in today's columns; those that came later are empty, and left out of the result."""
+    return _evolving_log(spark, sf).read_as_of(3).where("half IS NULL AND o_orderstatus IS NULL").drop("half", "o_orderstatus")
+
+
 # --- Sinks -------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,10 @@ COMMITS = T.StructType(
         T.StructField("bytes_added", T.LongType(), False),
         T.StructField("total_rows", T.LongType(), False),
         T.StructField("total_files", T.LongType(), False),
+        # The schema its files are written in, with field ids; the first snapshot that has it, and the last id given so far.
         T.StructField("schema_json", T.StringType(), False),
+        T.StructField("schema_since", T.LongType(), False),
+        T.StructField("last_field_id", T.IntegerType(), False),
         T.StructField("txn", T.StringType(), True),
     ]
 )

@@ -1,10 +1,14 @@
 """Append-only tables with snapshots and time travel, on Parquet.
 
-``data/drayline_snapshot=<n>/`` holds what snapshot ``n`` added and the commit ledger holds one row per snapshot.
+``data/drayline_snapshot=<n>/`` holds what snapshot ``n`` added and the commit log holds one row per snapshot.
 Data is written first and the commit row last. Ids are dense: snapshot ``n+1`` is only written after ``n`` is
 committed, and a failed attempt at ``n+1`` is overwritten by the next one. So "committed" is the plain
 partition predicate ``drayline_snapshot <= current``; reads need no join and prune folders while planning.
 One writer at a time is assumed.
+
+Columns have ids that stay (see ``functions.evolution``). ``evolve`` renames, widens or adds columns as a snapshot without rows; files are not
+rewritten. Each snapshot's files are read in the schema they were written in and brought into the current one by id,
+with one scan per schema that the wanted snapshots have.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drayline.functions.evolution import as_current, changes_for, evolved, with_field_ids
 from drayline.operators.projection import align
+from drayline.operators.reconcile import union_all
 from drayline.schemas import COMMITS
 from drayline.session import files_and_bytes, local_rows
 from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, write_parquet
-from drayline.sources.ledger import Ledger
+from drayline.sources.ledger import CommitLog
 
 
 #: The partition column of the data; a table's own columns may have any other name.
@@ -38,16 +44,16 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.data = f"{path}/data"
-        self.ledger = Ledger(spark, f"{path}/commits", COMMITS)
+        self.log = CommitLog(spark, f"{path}/commits", COMMITS, "snapshot_id")
 
     # --- state ---------------------------------------------------------------------------------
 
     def exists(self) -> bool:
-        return self.ledger.sequence() > 0
+        return not self.log.is_empty()
 
     def find_head(self) -> Row | None:
         """The commit in force, or None when there is no table."""
-        return self.ledger.greatest("snapshot_id", self.ledger.sequence())
+        return self.log.head()
 
     def head(self) -> Row:
         head = self.find_head()
@@ -56,10 +62,8 @@ class SnapshotTable:
         return head
 
     def commits(self) -> DataFrame:
-        sequence = self.ledger.sequence()
-        if sequence == 0:
-            raise ValueError(f"no snapshot table at {self.path}")
-        return self.ledger.read(sequence)
+        self.head()
+        return self.log.read()
 
     def schema(self) -> T.StructType:
         return _schema(self.head())
@@ -120,52 +124,94 @@ class SnapshotTable:
         if rows == 0:
             return Appended(None, 0, taken)
         files, size = files_and_bytes(self.spark, folder)
+        schema, last = (_schema(head), head.last_field_id) if head else with_field_ids(df.schema)
+        self._commit(head, txn, schema, head.schema_since if head else 1, last, rows, files, size)
+        return Appended(snapshot_id, rows, taken)
+
+    def _commit(self, head: Row | None, txn: str | None, schema: T.StructType, since: int, last: int, rows: int = 0, files: int = 0, size: int = 0) -> int:
         commit = Row(
-            snapshot_id=snapshot_id,
+            snapshot_id=head.snapshot_id + 1 if head else 1,
             parent_id=head.snapshot_id if head else None,
             rows_added=rows,
             files_added=files,
             bytes_added=size,
             total_rows=rows + (head.total_rows if head else 0),
             total_files=files + (head.total_files if head else 0),
-            schema_json=df.schema.json(),
+            schema_json=schema.json(),
+            schema_since=since,
+            last_field_id=last,
             txn=txn,
         )
         fields = T.StructType([f for f in COMMITS.fields if f.name != "committed_at"])
         row = local_rows(self.spark, [tuple(commit[n] for n in fields.names)], fields)
-        row = row.withColumn("committed_at", F.current_timestamp()).select(COMMITS.names)
-        # A ledger state per commit: its number is the number of the newest snapshot.
-        before = head.snapshot_id if head else 0
-        self.ledger.replace(self.ledger.read(before).unionByName(row), before)
-        return Appended(snapshot_id, rows, taken)
+        self.log.append(row.withColumn("committed_at", F.current_timestamp()), commit.snapshot_id)
+        return commit.snapshot_id
+
+    def evolve(
+        self, add: list[T.StructField] = (), rename: dict[str, str] | None = None, widen: dict[str, T.DataType] | None = None
+    ) -> int:
+        """Rename, then widen (by the new names), then add columns; returns the id of the snapshot that has the new schema.
+
+        Rows written before are NULL in an added column. A type may only be widened to one that holds all its values.
+        """
+        head = self.head()
+        schema, last = evolved(_schema(head), head.last_field_id, add, rename, widen)
+        if SNAPSHOT in (c.lower() for c in schema.names):
+            raise ValueError(f"the column name {SNAPSHOT!r} is reserved")
+        return self._commit(head, None, schema, head.snapshot_id + 1, last)
+
+    def append_evolving(self, df: DataFrame, txn: str | None = None, metrics: dict | None = None, **how) -> Appended:
+        """As ``append``, but columns that the table lacks are added, and types widened, first."""
+        head = self.head()
+        if txn is not None and head.txn == txn:
+            return Appended(head.snapshot_id, head.rows_added, {})
+        add, widen = changes_for(_schema(head), df.schema)
+        if add or widen:
+            self.evolve(add, widen=widen)
+        return self.append(df, txn, metrics, **how)
 
     # --- reads ---------------------------------------------------------------------------------
 
     def read(self) -> DataFrame:
         """All rows of all snapshots, later versions of a key as further rows."""
         head = self.head()
-        return self._rows(head, F.col(SNAPSHOT) <= head.snapshot_id)
+        return self._rows(head, 1, head.snapshot_id)
 
     def read_as_of(self, snapshot_id: int) -> DataFrame:
         """Rows as they were at a snapshot, in the current schema."""
         head = self.head()
         self._check_known(snapshot_id, head)
-        return self._rows(head, F.col(SNAPSHOT) <= snapshot_id)
+        return self._rows(head, 1, snapshot_id)
 
     def read_added(self, snapshot_id: int) -> DataFrame:
         """Only the rows one snapshot added."""
         head = self.head()
         self._check_known(snapshot_id, head)
-        return self._rows(head, F.col(SNAPSHOT) == snapshot_id)
+        return self._rows(head, snapshot_id, snapshot_id)
 
     def _check_known(self, snapshot_id: int, head: Row) -> None:
         if not 1 <= snapshot_id <= head.snapshot_id:
             raise ValueError(f"no snapshot {snapshot_id} in {self.path}")
 
-    def _rows(self, head: Row, snapshots) -> DataFrame:
-        schema = _schema(head)
-        stored = T.StructType(schema.fields + [T.StructField(SNAPSHOT, T.LongType())])
-        return self.spark.read.schema(stored).parquet(self.data).where(snapshots).select(schema.names)
+    def schemas(self, head: Row) -> list[tuple[int, int, T.StructType]]:
+        """(first snapshot, last snapshot, schema) of every schema the table has had. Only the commits that began one are looked at, and
+        none where the schema never changed."""
+        if head.schema_since == 1:
+            return [(1, head.snapshot_id, _schema(head))]
+        began = self.log.read().where("schema_since = snapshot_id").orderBy("snapshot_id").collect()
+        ends = [c.snapshot_id - 1 for c in began[1:]] + [head.snapshot_id]
+        return [(c.snapshot_id, end, _schema(c)) for c, end in zip(began, ends)]
+
+    def _rows(self, head: Row, first: int, last: int) -> DataFrame:
+        current, scans = _schema(head), []
+        for since, until, schema in self.schemas(head):
+            a, b = max(first, since), min(last, until)
+            if a <= b:
+                stored = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.LongType())])
+                snapshot = F.col(SNAPSHOT)
+                rows = self.spark.read.schema(stored).parquet(self.data).where((snapshot >= a) & (snapshot <= b))
+                scans.append(rows.select(*as_current(schema, current)))
+        return union_all(scans)
 
     def history(self) -> DataFrame:
         """Per snapshot: what it added and the running totals, which each commit carries forward."""
@@ -189,7 +235,7 @@ class SnapshotTable:
             F.max("snapshot_id").alias("newest"),
             F.coalesce(F.sum("committed_rows"), F.lit(0)).alias("committed"),
             F.coalesce(F.sum("scanned_rows"), F.lit(0)).alias("scanned"),
-            F.sum(F.expr("CASE WHEN committed_rows <=> scanned_rows THEN 0 ELSE 1 END")).alias("differing"),
+            F.sum(F.expr("CASE WHEN committed_rows <=> coalesce(scanned_rows, 0) THEN 0 ELSE 1 END")).alias("differing"),
         )
         checks = F.array(
             _check("table_has_columns", F.lit(len(self.schema().fields)).cast("long"), F.lit(len(self.schema().fields) > 0)),
@@ -206,5 +252,4 @@ def _check(name: str, value, passed):
 
 
 def _schema(commit: Row) -> T.StructType:
-    parsed = T.StructType.fromJson(json.loads(commit.schema_json))
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in parsed.fields])
+    return T.StructType.fromJson(json.loads(commit.schema_json))

@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from drayline.functions.evolution import is_wider
+from drayline.sources import ledger
 from drayline.sources.snapshots import SnapshotTable
 
 
@@ -120,3 +123,74 @@ def test_own_columns_keep_their_values(spark, table):
     assert sorted(r.snapshot_id for r in table.read().collect()) == [70, 71]
     with pytest.raises(ValueError, match="reserved"):
         SnapshotTable(spark, table.path + "-other").create(rows.withColumnRenamed("year", "drayline_snapshot"))
+
+
+# --- Schemas that change -----------------------------------------------------------------------
+
+
+def test_renamed_widened_and_added_columns(spark, table, rows, plan):
+    table.create(spark.createDataFrame([(1, "a", 1.5)], "id int, old string, v float"))
+    assert table.evolve(rename={"old": "name"}, widen={"id": T.LongType(), "v": T.DoubleType()}) == 2
+    table.append(spark.createDataFrame([(5_000_000_000, "b", 0.1)], "id long, name string, v double"))
+    table.evolve(add=[T.StructField("old", T.IntegerType())])  # a former name, a new column
+    table.append(spark.createDataFrame([(3, "c", 7)], "id int, name string, old int"))
+    assert rows(table.read(), "id", "name", "v", "old") == [(1, "a", 1.5, None), (3, "c", None, 7), (5_000_000_000, "b", 0.1, None)]
+    assert rows(table.read_as_of(3), "id", "name", "old") == [(1, "a", None), (5_000_000_000, "b", None)]
+    assert rows(table.read_added(5)) == [(3, "c", None, 7)] and table.read_added(4).count() == 0
+    assert [f.name for f in table.schema().fields] == ["id", "name", "v", "old"]
+    assert plan(table.read()).split("\n\n")[0].count("Scan parquet") == 3 and plan(table.read_added(5)).split("\n\n")[0].count("Scan parquet") == 1
+    assert all(r.passed for r in table.validate().collect())
+    assert [r.rows_added for r in table.history().orderBy("snapshot_id").collect()] == [1, 0, 1, 0, 1]
+
+
+def test_names_may_be_swapped(spark, table, rows):
+    table.create(spark.createDataFrame([(1, 2)], "a int, b int"))
+    table.evolve(rename={"a": "b", "b": "a"})
+    table.append(spark.createDataFrame([(10, 20)], "a int, b int"))
+    assert rows(table.read(), "a", "b") == [(10, 20), (2, 1)]
+
+
+def test_rows_bring_their_columns(spark, table, rows):
+    table.create(spark.createDataFrame([(1, "x")], "id int, name string"))
+    table.append_evolving(spark.createDataFrame([(2**40, 0.5)], "ID long, score double"), txn="b")
+    assert table.append_evolving(spark.createDataFrame([(9, 0.5)], "id long, score double"), txn="b").rows == 1
+    assert rows(table.read(), "id", "name", "score") == [(1, "x", None), (2**40, None, 0.5)]
+    with pytest.raises(ValueError, match="arrives as"):
+        table.append_evolving(spark.createDataFrame([("z",)], "id string"))
+    table.append_evolving(spark.createDataFrame([(3,)], "id short"))
+    assert table.head().snapshot_id == 4 and table.schema()["id"].dataType == T.LongType()
+
+
+def test_changes_that_lose_values_are_refused(spark, table):
+    table.create(spark.createDataFrame([(1, 2)], "a long, b int"))
+    for change in ({"widen": {"a": T.IntegerType()}}, {"widen": {"b": T.FloatType()}}, {"widen": {"x": T.LongType()}}, {"rename": {"x": "y"}}, {"rename": {"a": "B"}}, {"add": [T.StructField("A", T.LongType())]}):
+        with pytest.raises(ValueError):
+            table.evolve(**change)
+    assert table.head().snapshot_id == 1
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "wider"),
+    [("int", "long", True), ("long", "int", False), ("int", "double", True), ("long", "double", False), ("float", "double", True), ("decimal(9,2)", "decimal(11,3)", True), ("decimal(9,2)", "decimal(9,3)", False), ("int", "decimal(10,0)", True), ("int", "decimal(9,0)", False), ("date", "timestamp_ntz", True), ("string", "string", True), ("int", "string", False)],
+)
+def test_wider_types(old, new, wider):
+    of = lambda t: T.StructType.fromDDL(f"c {t}").fields[0].dataType
+    assert is_wider(of(old), of(new)) is wider
+
+
+def test_commits_are_written_once_and_gathered(spark, table, monkeypatch):
+    monkeypatch.setattr(ledger, "BLOCK", 4)
+    for i in range(1, 11):
+        table.append_or_create(simple(spark, i, i).coalesce(1))
+    names = sorted(ledger.list_names(spark, f"{table.path}/commits"))
+    assert names == ["block-4", "block-8", "commit-10", "commit-9"]
+    assert [r.total_rows for r in table.history().orderBy("snapshot_id").collect()] == list(range(1, 11))
+    spark.range(0).selectExpr("id AS x").write.parquet(f"{table.path}/commits/torn")
+    for torn in ("commit-11", "block-12"):  # folders of a write that did not end
+        ledger_path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/commits/{torn}/_temporary")
+        ledger_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(ledger_path)
+    assert table.head().snapshot_id == 10 and table.read().count() == 10
+    table.append(simple(spark, 11, 11))
+    table.append(simple(spark, 12, 12))
+    assert table.head().snapshot_id == 12 and "block-12" in ledger.list_names(spark, f"{table.path}/commits")
+    assert table.read().count() == 12
