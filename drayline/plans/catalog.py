@@ -247,6 +247,26 @@ def json_rows_source(spark, sf):
     return files.explode_json_rows(arrays, "rows_json", T.StructType([T.StructField("k", T.LongType())]), ("event_id",))
 
 
+@query(
+    "json_array_file",
+    """SELECT c_custkey, c_name || ' "{[\\' || c_mktsegment || '}],' AS note, c_acctbal,
+              '{"nation":' || c_nationkey || ',"tags":["}","]"]}' AS detail FROM customer""",
+)
+def json_array_file(spark, sf):
+    """All customers as one JSON array in one file, read by many tasks. The strings hold quotes, escapes, braces and brackets."""
+    path, customer = workspace(spark, "json-array"), table(spark, sf, "customer")
+    note = F.concat("c_name", F.lit(' "{[\\'), "c_mktsegment", F.lit("}],"))
+    detail = F.struct(F.col("c_nationkey").alias("nation"), F.array(F.lit("}"), F.lit("]")).alias("tags"))
+    rows = customer.select("c_custkey", note.alias("note"), "c_acctbal", detail.alias("detail"))
+    # One file is what a single task writes; reading it is not.
+    first, last = rows.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    begins, ends = F.when(F.col("c_custkey") == first, "[").otherwise(","), F.when(F.col("c_custkey") == last, "]").otherwise("")
+    lines = rows.select("c_custkey", F.concat(begins, F.to_json(F.struct("*")), ends).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    schema = T.StructType.fromDDL("c_custkey long, note string, c_acctbal double, detail string")
+    return files.read_json_rows(spark, path, schema)
+
+
 @query(
     "json_rows_sink",
     """SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":'

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from drayline.functions.scalars import date_parts, iso_text
 from drayline.functions.types import Field, canonical
 from drayline.functions.windows import Day, as_day
-from drayline.session import local_rows, matching_paths, path_exists
+from drayline.session import local_rows, matching_paths, path_exists, workspace
+from drayline.sources.json_arrays import array_elements
 
 # Codecs a Parquet sink accepts.
 CODECS = ("snappy", "gzip", "none")
@@ -152,15 +153,19 @@ def explode_json_rows(df: DataFrame, text: str, schema: T.StructType, keep: tupl
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Files that each hold one JSON array of flat objects; anything else fails the job. A file is the unit of parallelism.
+    """Files that each hold one JSON array of flat objects; anything else fails the job. Large files are read in byte ranges.
 
     Without a schema the types are inferred from all rows, never from the first; a nested value is then its raw text.
     """
+    elements = array_elements(spark, path)
     if schema is None:
-        inferred = spark.read.option("samplingRatio", "1.0").option("multiLine", "true").option("mode", "FAILFAST").json(path).schema
+        lines = workspace(spark, "json-elements")
+        elements.select(F.regexp_replace("value", r"[\r\n]", " ")).write.text(lines)
+        inferred = spark.read.option("samplingRatio", "1.0").option("mode", "FAILFAST").json(lines).schema
         nested = (T.StructType, T.ArrayType, T.MapType)
         schema = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in inferred.fields])
-    return explode_json_rows(spark.read.text(path, wholetext=True), "value", schema)
+        elements = spark.read.text(lines)
+    return elements.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_row")).select("_row.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
