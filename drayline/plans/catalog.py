@@ -201,6 +201,36 @@ def jdbc_query_scan(spark, sf):
     return jdbc.read_query(spark, db, sql, jdbc.Split("o_orderkey", 4))
 
 
+def _far_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders whose keys grow fast, and one key far from the rest: even steps over them leave nearly all in one part."""
+    orders = table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey") * F.col("o_orderkey"))
+    far = table(spark, sf, "orders").where("o_orderkey = 7").withColumn("o_orderkey", F.lit(9_000_000_000_000_000))
+    return orders.unionByName(far)
+
+
+@query(
+    "jdbc_scan_balanced",
+    """SELECT o_orderkey * o_orderkey AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+       UNION ALL SELECT 9000000000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey = 7""",
+)
+def jdbc_scan_balanced(spark, sf):
+    db = database(spark)
+    name = database_table(db, _far_orders(spark, sf), "orders_far", key="o_orderkey")
+    return jdbc.read_table(spark, db, name, jdbc.Split("o_orderkey", 4, balanced=True))
+
+
+@query(
+    "jdbc_balanced_parts",
+    "SELECT count(*) + 1 AS total_rows, 4 AS parts, true AS like_size FROM orders",
+)
+def jdbc_balanced_parts(spark, sf):
+    """How many rows each parallel read brought: none more than a tenth above the mean."""
+    per_part = jdbc_scan_balanced(spark, sf).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    return per_part.agg(
+        F.sum("n").alias("total_rows"), F.count(F.lit(1)).cast("int").alias("parts"), (F.max("n") <= 1.1 * F.avg("n")).alias("like_size")
+    )
+
+
 @query("parquet_scan", "SELECT * FROM lineitem")
 def parquet_scan(spark, sf):
     return table(spark, sf, "lineitem")

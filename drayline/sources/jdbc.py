@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -49,12 +49,14 @@ class Database:
 class Split:
     """How to cut rows into parallel reads: at even steps of a numeric, date or timestamp column, or at given values.
 
-    ``cuts`` are for keys that are unevenly spread, as one far from the rest would leave nearly all rows in one part.
+    Even steps leave nearly all rows in one part where a key lies far from the rest. ``balanced`` asks the database for cuts that leave
+    about as many rows in each part (see ``balanced_cuts``); ``cuts`` are the caller's own.
     """
 
     column: str
     parts: int = 0
     cuts: tuple = ()
+    balanced: bool = False
 
     def predicates(self) -> list[str]:
         """Conditions in the database's SQL that are disjoint and complete, NULLs in the first."""
@@ -83,6 +85,7 @@ def read_table(spark: SparkSession, db: Database, table: str, split: Split | Non
     """
     name = ".".join(f"`{part}`" for part in [db.catalog(spark), *table.split(".")])
     whole = spark.table(name)
+    split = _with_cuts(spark, db, table, split)
     if split is not None and split.cuts:
         return read_slices(spark, db, table, split.predicates())
     if split is None or split.parts <= 1:
@@ -107,6 +110,7 @@ def read_query(spark: SparkSession, db: Database, sql: str, split: Split | None
     if split is None or not (split.cuts or split.parts > 1):
         return reader.option("query", sql).load()
     inner = f"({sql}) q"
+    split = _with_cuts(spark, db, inner, split)
     if split.cuts:
         return read_slices(spark, db, inner, split.predicates())
     column = quoted(split.column)
@@ -124,6 +128,75 @@ def read_slices(spark: SparkSession, db: Database, table: str, predicates: list[
     return spark.read.jdbc(db.url, table, predicates=predicates, properties=properties)
 
 
+#: Ranges that a range is divided into at each look.
+CUT_FANOUT = 256
+CUT_LEVELS = 8
+
+
+def _with_cuts(spark: SparkSession, db: Database, table: str, split: Split | None) -> Split | None:
+    if split is None or not split.balanced or split.cuts or split.parts <= 1:
+        return split
+    cuts = balanced_cuts(spark, db, table, split.column, split.parts)
+    return replace(split, cuts=cuts, parts=split.parts if cuts else 0, balanced=False)
+
+
+def balanced_cuts(spark: SparkSession, db: Database, table: str, column: str, parts: int, tolerance: float = 0.05) -> tuple:
+    """Values that cut a table (or a subquery with an alias) into parts of like size; found inside the database.
+
+    A count per range of the column, ``CUT_FANOUT`` ranges at a time, shows where the cuts must lie; only the ranges that hold one
+    are divided and counted again, until they hold little beside a part's size. One key far from the rest costs
+    a few more looks, the last ones over few rows. A single value stays in one part, whatever it holds. For columns that are no
+    numbers, Spark reads the column and takes quantiles of it.
+    """
+    c = quoted(column)
+    reader = spark.read.format("jdbc").options(**db.reader_options())
+    kind = reader.option("query", f"SELECT {c} FROM {table}").load().schema[0].dataType
+    if not isinstance(kind, T.NumericType):
+        return _quantile_cuts(reader.option("query", f"SELECT {c} FROM {table}").load(), column, parts)
+    whole = isinstance(kind, T.IntegralType)
+    number = f"CAST({c} AS BIGINT)" if whole else f"CAST({c} AS DOUBLE PRECISION)"
+    sql = f'SELECT MIN({number}) AS "low", MAX({number}) AS "high", COUNT({c}) AS "n" FROM {table}'
+    low, high, n = reader.option("query", sql).load().first()
+    if not n or low == high:
+        return ()
+    span = high - low + 1 if whole else high - low
+    width = 1 if whole else span / CUT_FANOUT
+    while whole and width * CUT_FANOUT < span:
+        width *= CUT_FANOUT
+    targets = {n * i / parts: (low, high, 0) for i in range(1, parts)}  # rows that should be below: (from, to, rows below from)
+    cuts: set = set()
+    for level in range(CUT_LEVELS):
+        within = " OR ".join(f"({c} >= {_literal(a)} AND {c} <= {_literal(b)})" for a, b, _ in sorted(set(targets.values())))
+        bucket = f"({number} - {low}) / {width}" if whole else f"CAST(FLOOR(({number} - ({low!r})) / {width!r}) AS BIGINT)"
+        counted = f'SELECT "bucket", COUNT(*) AS "n" FROM (SELECT {bucket} AS "bucket" FROM {table} WHERE {within}) b GROUP BY "bucket"'
+        counts = sorted((int(r["bucket"]), int(r["n"])) for r in reader.option("query", counted).load().collect())
+        last, narrower = level == CUT_LEVELS - 1 or whole and width == 1, {}
+        for target, (a, b, below) in targets.items():
+            for number_of, rows in counts:
+                start = low + number_of * width
+                if start + width <= a or start > b:
+                    continue
+                if below + rows >= target:
+                    if last or rows <= tolerance * n / parts:
+                        cuts.add(start if target - below < rows / 2 else start + width)
+                    else:
+                        narrower[target] = (start, start + width - (1 if whole else 0), below)
+                    break
+                below += rows
+        targets = narrower
+        if not targets:
+            break
+        width = width // CUT_FANOUT if whole else width / CUT_FANOUT
+    return tuple(sorted(v for v in cuts if low < v <= high))
+
+
+def _quantile_cuts(values: DataFrame, column: str, parts: int) -> tuple:
+    """Cuts at quantiles that Spark takes of one column, of dates or times."""
+    wanted = [i / parts for i in range(1, parts)]
+    found = values.agg(F.percentile_approx(column, wanted, 10_000).alias("cuts")).select(F.col("cuts").cast("array<string>")).first()[0]
+    return tuple(sorted(set(found or ())))
+
+
 def count_rows(spark: SparkSession, db: Database, table: str, where: str | None = None) -> DataFrame:
     """The count, taken inside the database."""
     rows = read_table(spark, db, table)

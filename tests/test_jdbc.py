@@ -122,3 +122,36 @@ def test_discovery(spark, db, people):
     assert list(found) == ["APP.PEOPLE"]
     profile = database_profile(spark, found)
     assert [tuple(r) for r in profile.collect()] == [("APP", "PEOPLE", 2, 3)]
+
+
+def part_sizes(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+@pytest.mark.parametrize("shape", ["outlier", "growing", "repeated", "negative"])
+def test_balanced_cuts(spark, db, rows, shape):
+    i = F.col("id")
+    key = {"outlier": F.when(i == 999, 10**15).otherwise(i), "growing": i * i * i, "repeated": F.when(i < 500, 7).otherwise(i), "negative": (i - 500) * 1_000_003}[shape]
+    df = spark.range(1000).select(key.cast("long").alias("k"), (i % 3).cast("int").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 1)], "k long, v int"))
+    jdbc.append_rows(df, db, "SPREAD")
+    cuts = jdbc.balanced_cuts(spark, db, "SPREAD", "k", 4)
+    found = jdbc.read_table(spark, db, "SPREAD", jdbc.Split("k", 4, balanced=True))
+    assert rows(found) == rows(df) and cuts == tuple(sorted(set(cuts)))
+    if shape == "repeated":
+        assert max(part_sizes(found)) <= 520  # one value with half of the rows stays whole
+    else:
+        assert found.rdd.getNumPartitions() == 4 and max(part_sizes(found)) <= 270
+    query = jdbc.read_query(spark, db, 'SELECT "k" FROM SPREAD WHERE "v" = 1', jdbc.Split("k", 4, balanced=True))
+    assert rows(query) == rows(df.where("v = 1").select("k"))
+
+
+def test_balanced_cuts_of_fractions_dates_and_nothing(spark, db, rows):
+    df = spark.range(1000).select((F.exp(F.col("id") / 40) - 3).alias("x"), F.expr("date_add(DATE'2020-01-01', cast(pow(id, 1.3) as int))").alias("d"))
+    jdbc.append_rows(df, db, "REALS")
+    for column in ("x", "d"):
+        found = jdbc.read_table(spark, db, "REALS", jdbc.Split(column, 5, balanced=True))
+        assert rows(found) == rows(df) and max(part_sizes(found)) <= 230
+    jdbc.execute(spark, db, 'CREATE TABLE NONE_YET ("k" BIGINT)', 'CREATE TABLE ONE_KEY ("k" BIGINT)', 'INSERT INTO ONE_KEY VALUES 5, 5, NULL')
+    assert jdbc.read_table(spark, db, "NONE_YET", jdbc.Split("k", 4, balanced=True)).count() == 0
+    assert jdbc.read_table(spark, db, "ONE_KEY", jdbc.Split("k", 4, balanced=True)).count() == 3
