@@ -96,6 +96,63 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class MergeTable:
+    """The merges of a vocabulary as arrays, for several pieces at once. ``word_end`` is what the vocabulary puts behind a piece's last byte."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, word_end: str = "") -> None:
+        by_byte = [c for c, _ in sorted(byte_characters().items(), key=lambda x: x[1])]
+        self.byte_id = np.array([vocabulary[c] for c in by_byte])
+        self.last_id = np.array([vocabulary[c + word_end] for c in by_byte])
+        self.size = 1 + max(vocabulary.values())
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs] or [-1], dtype=np.int64)
+        self.rank_of_key = np.argsort(keys, kind="stable")
+        self.keys, self.made = keys[self.rank_of_key], np.array([vocabulary[a + b] for a, b in pairs] or [0], dtype=np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_of_key[at], NONE)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of short pieces, none of them empty, as 32-bit numbers: the earliest merge first, a row each."""
+        lengths = np.array([len(p) for p in pieces])
+        ids = np.full((len(pieces), lengths.max() + 1), -1, dtype=np.int64)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        coded, last = self.byte_id[data], np.cumsum(lengths) - 1
+        coded[last] = self.last_id[data[last]]
+        ids[np.arange(ids.shape[1]) < lengths[:, None]] = coded
+        done = np.full(ids.shape, -1, dtype="<i4")
+        rows, ranks = np.arange(len(pieces)), self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            best = ranks.min(axis=1)
+            going = best < NONE
+            if not going.all():
+                done[rows[~going], : ids.shape[1]] = ids[~going]
+                rows, ids, ranks, best = rows[going], ids[going], ranks[going], best[going]
+                if not len(rows):
+                    break
+            at, row = ranks.argmin(axis=1), np.arange(len(rows))
+            ids[row, at] = self.made[best]
+            columns = np.arange(ids.shape[1] - 1)
+            kept = columns + (columns > at[:, None])  # without the right part
+            ids, ranks = np.take_along_axis(ids, kept, 1), np.take_along_axis(ranks, kept[:, :-1], 1)
+            for left in (np.maximum(at - 1, 0), at):  # a row ends in a -1, so there is a right neighbour
+                ranks[row, left] = self._ranks(ids[row, left], ids[row, left + 1])
+        counts = (done >= 0).sum(axis=1).tolist()
+        return [r[:n].tobytes() for r, n in zip(done, counts)]
+
+    def merged_by_length(self, pieces: list[tuple[bytes, str]]) -> Iterator[tuple[str, bytes]]:
+        """(name, ids) of pieces with their names, those of like length together."""
+        by_length: dict[int, list[tuple[bytes, str]]] = {}
+        for piece in pieces:
+            by_length.setdefault(len(piece[0]) // 3, []).append(piece)
+        for alike in by_length.values():
+            for at in range(0, len(alike), TOGETHER):
+                data, names = zip(*alike[at : at + TOGETHER])
+                yield from zip(names, self.merged(data))
+
+
 class Transducer:
     """Ids of texts, and texts of ids. ``lookahead``: bytes after a token's end from which on it cannot change any more."""
 
@@ -115,10 +172,7 @@ class Transducer:
         self.made = [ids[a + b] for a, b in merges]
         pairs = [(ids[a], ids[b]) for a, b in merges]
         self.rank = {pair: r for r, pair in enumerate(pairs)}
-        self.size = size
-        keys = np.array([a * size + b for a, b in pairs] or [-1], dtype=np.int64)
-        self.rank_of_key = np.argsort(keys, kind="stable")
-        self.keys, self.made_by = keys[self.rank_of_key], np.array(self.made or [0], dtype=np.int64)
+        self.table = MergeTable(ids, merges)
         self.lookahead = self._sufficient_lookahead(pairs)
         self.pieces, self.latin_pieces = _compiled(PATTERN, unknown), _compiled(PATTERN, "")
         self.runs = [(_compiled(f" ?{c}+", unknown), _compiled(f"{c}*", unknown)) for c in "LNO"]
@@ -160,36 +214,6 @@ class Transducer:
                 heappush(waiting, (r, before[i]))
         return [i for i in ids if i >= 0]
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_of_key[at], NONE)
-
-    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of several short pieces as 32-bit numbers: the steps of ``merged``, each for all pieces at once, a row each."""
-        lengths = np.array([len(p) for p in pieces])
-        ids = np.full((len(pieces), lengths.max() + 1), -1, dtype=np.int64)
-        ids[np.arange(ids.shape[1]) < lengths[:, None]] = np.array(self.byte_id)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        done = np.full(ids.shape, -1, dtype="<i4")
-        rows, ranks = np.arange(len(pieces)), self._ranks(ids[:, :-1], ids[:, 1:])
-        while len(rows):
-            best = ranks.min(axis=1)
-            going = best < NONE
-            if not going.all():
-                done[rows[~going], : ids.shape[1]] = ids[~going]
-                rows, ids, ranks, best = rows[going], ids[going], ranks[going], best[going]
-                if not len(rows):
-                    break
-            at, row = ranks.argmin(axis=1), np.arange(len(rows))
-            ids[row, at] = self.made_by[best]
-            columns = np.arange(ids.shape[1] - 1)
-            kept = columns + (columns > at[:, None])  # without the right part
-            ids, ranks = np.take_along_axis(ids, kept, 1), np.take_along_axis(ranks, kept[:, :-1], 1)
-            for left in (np.maximum(at - 1, 0), at):  # a row ends in a -1, so there is a right neighbour
-                ranks[row, left] = self._ranks(ids[row, left], ids[row, left + 1])
-        counts = (done >= 0).sum(axis=1).tolist()
-        return [r[:n].tobytes() for r, n in zip(done, counts)]
-
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """The tokens of one piece that arrives in parts, each as soon as it is stable."""
         buffer = b""
@@ -301,10 +325,7 @@ class PieceCache(dict):
         if len(self) + len(new) > CACHED_PIECES:
             self.clear()
             new = [p for p in pieces if len(p) <= CACHED_LENGTH and isinstance(p, str)]
-        encoded = sorted(((p.encode(), p) for p in new), key=lambda x: len(x[0]))
-        for at in range(0, len(encoded), TOGETHER):  # of like length
-            part = encoded[at : at + TOGETHER]
-            self.update(zip([p for _, p in part], self.transducer.merged_together([b for b, _ in part])))
+        self.update(self.transducer.table.merged_by_length([(p.encode(), p) for p in new]))
 
     def __missing__(self, piece: str | bytes) -> bytes:
         """A long piece, which is not kept, or ids."""

@@ -11,69 +11,98 @@ buckets of documents, so that no length is handled by a single task.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drayline.llm import text as texts_of
+from drayline.llm.bpe import MergeTable
 from drayline.session import workspace
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 19
+LONGEST = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 1
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian bytes.
+    """Token ids of words. What is kept has the size of the vocabulary.
 
-    The tokenizer never joins characters across white space, so a text's ids are those of its words, which are looked
-    up in a bounded cache. A comma or full stop after a Latin letter is a token of its own (a dotted capital I leaves a mark).
+    A word of lower-case Latin letters is one piece, which no normalisation changes; such words are merged many at a time. The library
+    tokenizes the others.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = MergeTable(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.marks = {m: self._ids([m])[0] for m in ",."}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        plain = {}
-        for word in missing:
+    def learn(self, words: set[str], known: dict[str, bytes]) -> None:
+        """Add the ids of words to the known ones. A comma or full stop after a Latin letter is a token of its own (a dotted capital I
+        leaves a mark); the word before it is kept for itself."""
+        new, derived = set(), []
+        for word in words:
             stem = word.lower() if word.isascii() else word
-            before = stem[-2:-1]
-            mark = stem[-1] if stem[-1] in self.marks and before.isalpha() and before < "\u0250" and before != "\u0130" else ""
-            plain[word] = (stem[:-1] if mark else stem, mark)
-        unknown = list({stem for stem, _ in plain.values()}.difference(self.stems))
-        if len(self.stems) + len(unknown) > CACHE_WORDS:
-            self.stems, unknown = {}, list({stem for stem, _ in plain.values()})
-        for at in range(0, len(unknown), 10_000):
-            part = unknown[at : at + 10_000]
-            self.stems.update(zip(part, self._ids(part)))
-        for word, (stem, mark) in plain.items():
-            self.words[word] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            missing = set(words).difference(self.words)
-            if missing:
-                if len(self.words) + len(missing) > CACHE_WORDS:
-                    self.words = {"": b""}
-                    missing = set(words) - {""}
-                self._learn(missing)
-            yield b"".join(map(self.words.__getitem__, words))
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
+            mark = stem[-1]
+            if mark in self.marks and "\u0250" > (before := stem[-2:-1]) != "\u0130" and before.isalpha():
+                stem = stem[:-1]
+                derived.append((word, stem, mark))
+            elif stem != word:
+                derived.append((word, stem, ""))
+            if stem not in known:
+                new.add(stem)
+        simple, others = [], []
+        for stem in new:
+            if stem.isalpha() and len(stem) <= LONGEST and stem.islower() and (stem.isascii() or max(stem) < "\u0250"):
+                simple.append((stem.encode(), stem))
+            else:
+                others.append(stem)
+        known.update(self.merges.merged_by_length(simple))
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
+            known.update(zip(part, self._ids(part)))
+        for word, stem, mark in derived:
+            known[word] = known[stem] + self.marks[mark] if mark else known[stem]
+
+
+class WordIds:
+    """Ids of words met in a task, forgotten when there are too many.
+
+    The tokenizer never joins characters across white space, so a text's ids are those of its words.
+    """
+
+    def __init__(self, tokenizer: WordTokenizer) -> None:
+        self.tokenizer, self.known = tokenizer, {"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit numbers; their new words are tokenized together."""
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        met = set(chain.from_iterable(words))
+        missing = met.difference(self.known)
+        if len(self.known) + len(missing) > CACHE_WORDS:
+            self.known, missing = {"": b""}, met - {""}
+        self.tokenizer.learn(missing, self.known)
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+
+
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def _pieces(capacity: int, path: str):
@@ -83,11 +112,11 @@ def _pieces(capacity: int, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
-        for batch in batches:
+        words = WordIds(word_tokenizer(path))
+        for batch in texts_of.each_chunk(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            texts = (v.as_py() or "" for v in batch.column("text"))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts)):
+            encoded = words.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                 ids += end
                 view = memoryview(ids)
                 for piece, at in enumerate(range(0, len(ids) // 4, capacity)):

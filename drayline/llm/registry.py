@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from drayline.llm import bpe, clustering, decontamination, hamming, jaccard, language, lexical, licenses, linear, maxent, packing, pii, quality, toxicity
 from drayline.session import distribute_package, table_path
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf, name))
 
 
+def held_out() -> Column:
+    """Fold 0 of five; a row without an id is in none."""
+    return F.coalesce(linear.fold() == 0, F.lit(False))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf, "documents"), capacity=4096)
 
@@ -24,7 +30,7 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity.train(quality.labelled_documents(docs, table(spark, sf, "labels"), "toxic"))
-    return toxicity.score(docs, model).withColumn("held_out", linear.fold() == 0)
+    return toxicity.score(docs, model).withColumn("held_out", held_out())
 
 
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,13 +61,13 @@ def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = language.identify(docs, language.train(language.training_rows(docs)))
-    return found.select("doc_id", (linear.fold() == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = quality.train(quality.labelled_documents(docs, table(spark, sf, "labels"), "quality"))
-    return quality.score(docs, model, threshold=0.3).select("doc_id", (linear.fold() == 0).alias("held_out"), "score", "predicted")
+    return quality.score(docs, model, threshold=0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
