@@ -161,9 +161,13 @@ def _aligner(block: Block, spark: SparkSession, least: float):
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without those that hold a passage of an item. Rows with a NULL doc_id stay."""
+    """``docs`` without those that hold a passage of an item. Each row is judged by its own text, whatever its id: rows are known by a
+    64-bit hash of the text."""
     from drayline.session import workspace
 
     path = workspace(spark, "contaminated")
-    contaminated(spark, docs, items, least).select("doc_id").distinct().write.parquet(path)
-    return docs.join(spark.read.parquet(path), "doc_id", "left_anti").select(docs.columns)
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.xxhash64(body).alias("doc_id"), "text")
+    contaminated(spark, hashed, items, least).select("doc_id").distinct().write.parquet(path)
+    found, row, h = spark.read.parquet(path).select(F.col("doc_id").alias("found")), "row", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    return docs.select(F.struct(*docs.columns).alias(row)).join(found, h == F.col("found"), "left_anti").select("row.*")

@@ -310,17 +310,27 @@ def linked_documents(spark: SparkSession, docs: DataFrame, similarity_percent: i
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, similarity_percent: int = 80, words: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of linked ones, that of the smallest doc_id, and one row of each doc_id.
+    """``docs`` with one document of each group of linked ones, that of the smallest doc_id.
 
-    Rows with a NULL doc_id, and documents without words, stay as they are (repeated rows of the latter: once)."""
-    path = workspace(spark, "linked-away")
-    linked = linked_documents(spark, docs, similarity_percent, words)
-    linked.where("doc_id <> component_id").select("doc_id").distinct().write.parquet(path)
-    kept = docs.join(spark.read.parquet(path), "doc_id", "left_anti").select(docs.columns)
-    repeated = workspace(spark, "repeated-ids")
-    docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").write.parquet(repeated)
+    Every row is a document: where ids are NULL or repeat, a hash of id and text stands in for the id (below all ids), so rows
+    with different texts are judged by themselves and of equal rows one stays. Documents without words stay as they are
+    (those with the same id and text: once).
+    """
+    path, repeated = workspace(spark, "linked-away"), workspace(spark, "repeated-ids")
+    docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id").write.parquet(repeated)
     ids = spark.read.parquet(repeated)
     if ids.isEmpty():
-        return kept
-    once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        linked = linked_documents(spark, docs, similarity_percent, words)
+        linked.where("doc_id <> component_id").select("doc_id").distinct().write.parquet(path)
+        return docs.join(spark.read.parquet(path), "doc_id", "left_anti").select(docs.columns)
+    row, shared, other = "row", "shared", "doc"
+    rows = docs.select(F.struct(*docs.columns).alias(row))
+    again = ids.select(F.col("doc_id").alias(other), F.lit(True).alias(shared))
+    rows = rows.join(again, F.col("row.doc_id").eqNullSafe(F.col(other)), "left").select(row, F.coalesce(shared, F.lit(False)).alias(shared))
+    stand_in = F.shiftright(F.xxhash64("row.doc_id", "row.text"), 2) - F.lit(1 << 62)
+    keyed = rows.withColumn("doc_id", F.when(F.col(shared), stand_in).otherwise(F.col("row.doc_id")))
+    linked = linked_documents(spark, keyed.select("doc_id", "row.text"), similarity_percent, words)
+    linked.where("doc_id <> component_id").select("doc_id").distinct().write.parquet(path)
+    kept = keyed.join(spark.read.parquet(path), "doc_id", "left_anti")
+    once = kept.where(shared).dropDuplicates(["doc_id"])
+    return kept.where(~F.col(shared)).unionByName(once).select("row.*")

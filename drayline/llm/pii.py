@@ -264,7 +264,9 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     path = workspace(spark, "pii")
     annotated(docs.select("text")).select("pii_candidate").where(F.size("pii_candidate") > 0).write.parquet(path)
-    marked = annotated(docs).withColumn("pii_secret", _accepted(fit(spark.read.parquet(path))))
+    # The rows travel as one column, so that no column of theirs can have the name of a working column.
+    rows = docs.select(F.struct(*docs.columns).alias("pii_row"), "text")
+    marked = annotated(rows).withColumn("pii_secret", _accepted(fit(spark.read.parquet(path))))
     tagged = [F.transform(F.col(f"pii_{k}"), _tagged(k)) for k in (*KINDS, ADDED)]
     marked = marked.withColumn("pii_all", F.array_sort(F.concat(*tagged)))
     text = F.col("pii_text")
@@ -275,4 +277,5 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(fresh, F.concat(done["out"], between, x["mark"])).otherwise(done["out"]).alias("out"))
 
     cut = F.aggregate("pii_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    return marked.withColumn("text", F.when(F.size("pii_all") > 0, cut).otherwise(F.col("text"))).select(docs.columns)
+    redacted = F.when(F.size("pii_all") > 0, cut).otherwise(F.col("text"))
+    return marked.select(*(redacted.alias(c) if c == "text" else F.col("pii_row")[c].alias(c) for c in docs.columns))

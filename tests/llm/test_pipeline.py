@@ -8,7 +8,7 @@ from conftest_llm import odd_documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drayline.llm import quality
+from drayline.llm import quality, registry
 
 SMALL = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -76,3 +76,44 @@ def test_whole_pipeline_and_odd_rows(spark, tmp_path):
     assert packed.where("doc_id is null").count() >= 1
     odd.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+SCHEMA = "doc_id long, text string, n_chars long, pii_email string, pii_text int, row string, shared boolean, found long"
+
+
+def strange(spark, texts):
+    """Rows whose other columns have the names of working columns."""
+    return spark.createDataFrame([(i, t, None if t is None else len(t), "own", 7, "r", True, 3) for i, t in texts], SCHEMA)
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    docs = strange(spark, [(1, a), (1, b), (1, b), (2, a + " end"), (3, c), (None, c + " end"), (None, None), (4, None), (5, a)])
+    kept = rows(STAGES["n-gram Jaccard join"](spark, docs, SMALL).select("doc_id", "text"))
+    assert [t for _, t in kept].count(b) == 1 and sum((t or "").startswith("a0") for _, t in kept) == 1 and sum((t or "").startswith("c0") for _, t in kept) == 1
+    assert (4, None) in kept and (None, None) in kept and len(kept) == 5
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    docs = strange(spark, [(1, "before " + item + " after"), (1, "clean words only here"), (None, item), (None, "clean too"), (2, None), (2, "")])
+    kept = STAGES["benchmark decontamination"](spark, docs, SMALL)
+    assert kept.schema == docs.schema
+    assert rows(kept.select("doc_id", "text")) == sorted([(1, "clean words only here"), (None, "clean too"), (2, None), (2, "")], key=repr)
+
+
+def test_columns_named_like_working_columns_stay(spark):
+    docs = strange(spark, [(1, "mail a.b@example.com now"), (2, None), (None, "nothing")])
+    out = STAGES["PII"](spark, docs, SMALL)
+    assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert {r.text for r in out.collect()} == {"mail [email] now", None, "nothing"}
+    for r in out.collect():
+        assert (r.pii_email, r.pii_text, r.row, r.shared, r.found) == ("own", 7, "r", True, 3)
+
+
+def test_without_an_id_nothing_is_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "some text", "en", "s", 9), (3, "other text", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op2_toxicity", "op9_language_id", "op10_quality"):
+        found = {r.doc_id: r.held_out for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert found[None] is False and found[3] is not None
