@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from drayline.functions import scalars
 from drayline.functions.types import Field
 from drayline.functions.windows import date_window, int_date_window, make_window, scd2_window, window_and_where
-from drayline.operators import digest, merge, profile, projection, reconcile, summary
+from drayline.operators import digest, history, merge, profile, projection, reconcile, summary
 from drayline.plans import jobs
 from drayline.session import is_local, local_rows, table_path, workspace
 from drayline.sources import files, jdbc
@@ -754,6 +754,87 @@ def customer_order_summary(spark, sf):
     return _rounded(totals, amount_ordered=2)
 
 
+# --- History and differences -------------------------------------------------------------------
+
+
+def status_log(spark: SparkSession, sf: str) -> DataFrame:
+    """An audit log of customers: the status of each order as that of its customer, sent again whenever there is an order."""
+    return table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderstatus")
+
+
+INTERVALS_SQL = """
+WITH v AS (SELECT o_custkey, o_orderdate AS t, max(o_orderstatus) AS s FROM orders GROUP BY 1, 2),
+     c AS (SELECT *, lag(s) OVER (PARTITION BY o_custkey ORDER BY t) AS p FROM v)
+SELECT o_custkey, s AS o_orderstatus, t AS valid_from, lead(t) OVER (PARTITION BY o_custkey ORDER BY t) AS valid_to
+FROM c WHERE p IS DISTINCT FROM s"""
+
+
+@query("validity_intervals", INTERVALS_SQL)
+def validity_intervals(spark, sf):
+    return history.validity_intervals(status_log(spark, sf), ["o_custkey"], "o_orderdate", bucket="year")
+
+
+@query(
+    "as_of_join",
+    f"""WITH i AS ({INTERVALS_SQL}), f AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL '45' DAY AS due FROM orders
+                                            UNION ALL SELECT o_orderkey, o_custkey, TIMESTAMP '1990-01-01' FROM orders WHERE o_orderstatus = 'P')
+        SELECT f.*, i.o_orderstatus, i.valid_from, i.valid_to
+        FROM f LEFT JOIN i ON i.o_custkey = f.o_custkey AND f.due >= i.valid_from AND (i.valid_to IS NULL OR f.due < i.valid_to)""",
+)
+def as_of_join(spark, sf):
+    """Orders with the status their customer had 45 days later, and some from before there was any."""
+    orders = table(spark, sf, "orders")
+    due = orders.select("o_orderkey", "o_custkey", F.expr("o_orderdate + INTERVAL '45' DAY").alias("due"))
+    early = orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", F.lit("1990-01-01").cast("timestamp_ntz").alias("due"))
+    versions = history.validity_intervals(status_log(spark, sf), ["o_custkey"], "o_orderdate", bucket="year")
+    return history.as_of_join(due.unionByName(early), versions, ["o_custkey"], "due")
+
+
+_DRIFTED_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey = 205 THEN NULL WHEN o_orderkey BETWEEN 200 AND 230 THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority FROM orders WHERE o_orderkey NOT BETWEEN 900 AND 909
+UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey BETWEEN 310 AND 312"""
+
+
+@query(
+    "state_difference",
+    f"""WITH z AS ({_DRIFTED_SQL})
+        SELECT z.*, CASE WHEN a.o_orderkey IS NULL THEN 'insert' ELSE 'update' END AS change FROM z LEFT JOIN orders a ON a.o_orderkey = z.o_orderkey
+        WHERE a.o_orderkey IS NULL OR a.o_totalprice IS DISTINCT FROM z.o_totalprice
+        UNION ALL SELECT a.*, 'delete' FROM orders a WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.o_orderkey = a.o_orderkey)""",
+)
+def state_difference(spark, sf):
+    return history.state_difference(table(spark, sf, "orders"), drifted_orders(spark, sf), ["o_orderkey"])
+
+
+@query("change_feed_applied", _DRIFTED_SQL)
+def change_feed_applied(spark, sf):
+    """The difference of two loads, merged into a keyed table that holds the first."""
+    orders = table(spark, sf, "orders")
+    target = KeyedTable(spark, workspace(spark, "feed"), ["o_orderkey"], HashBuckets(8))
+    target.create(orders)
+    feed = history.state_difference(orders, drifted_orders(spark, sf), ["o_orderkey"])
+    target.merge(feed, deleted=F.col(history.CHANGE) == history.DELETE)
+    return target.read()
+
+
+@query(
+    "snapshot_change_feed",
+    f"""WITH base AS ({BASE_SQL}), changes AS ({CHANGES_SQL})
+        SELECT c.*, 2 AS revision, CASE WHEN EXISTS (SELECT 1 FROM base b WHERE b.o_orderkey = c.o_orderkey) THEN 'update' ELSE 'insert' END AS change
+        FROM changes c""",
+)
+def snapshot_change_feed(spark, sf):
+    """What three further loads of a log changed, net: drafts, changes, and repeats of what was there."""
+    log, changes = SnapshotTable(spark, workspace(spark, "log-feed")), orders_changes(spark, sf)
+    base = orders_base(spark, sf).withColumn("revision", F.lit(0))
+    log.create(base)
+    log.append(changes.withColumns({"o_totalprice": F.lit(0.0), "revision": F.lit(1)}))
+    log.append(changes.withColumn("revision", F.lit(2)))
+    log.append(base.where(f"o_orderdate < '{CHANGED_SINCE}'"))
+    return history.log_difference(log, ["o_orderkey"], "revision", 1, 4)
+
+
 # --- Aggregates --------------------------------------------------------------------------------
 
 
@@ -1249,6 +1330,20 @@ def stream_append_log(spark, sf):
     return log.read()
 
 
+@query("stream_once_each", "SELECT * FROM events")
+def stream_once_each(spark, sf):
+    """Events of which many stand in several files; the runs are restarts of one stream."""
+    root, events = workspace(spark, "stream-once"), table(spark, sf, "events")
+    log = SnapshotTable(spark, f"{root}/log")
+    arrivals = [events.where("ts < '2024-01-16'"), events.where("ts >= '2024-01-10'"), events.where("event_id % 3 = 0")]
+    for i, rows in enumerate(arrivals):
+        files.write_parquet(rows, f"{root}/arrivals/{i}")
+        arriving = streams.arriving_parquet(spark, f"{root}/arrivals", events.schema)
+        once = streams.once_each(arriving, ["event_id"], "ts", "40 days")
+        streams.drain(streams.stream_to_log(once, log, f"{root}/checkpoint", f"once-{uuid.uuid4().hex}"))
+    return log.read()
+
+
 @query("stream_upsert", UPSERT_SQL)
 def stream_upsert(spark, sf):
     root = workspace(spark, "stream-upsert")
@@ -1413,6 +1508,27 @@ def transfer_batch_log(spark, sf):
     )
 
 
+@query(
+    "batch_resume",
+    """SELECT 'orders' AS table_name, 1 AS attempts, count(*) AS rows_extracted, true AS success FROM orders
+       UNION ALL SELECT 'part', 1, count(*), true FROM part
+       UNION ALL SELECT 'customer', 2, count(*), true FROM customer""",
+)
+def batch_resume(spark, sf):
+    """A batch in which one table was not there yet, and its resumption, which takes that table alone."""
+    root = workspace(spark, "resume")
+
+    def job(name: str, source: str) -> jobs.Job:
+        return jobs.Job(name, "table_to_parquet", lambda: jobs.to_parquet(table(spark, sf, source), f"{root}/{name}", "2024-03-07")[1])
+
+    early = [job("orders", "orders"), job("part", "part"), job("customer", "not_yet")]
+    run_id = jobs.run_batch(spark, early, f"{root}/log", pool="{table}")
+    jobs.run_batch(spark, [*early[:2], job("customer", "customer")], f"{root}/log", pool="{table}", resume=run_id)
+    log = jobs.read_run_log(spark, f"{root}/log", run_id)
+    attempts = log.groupBy("table_name").agg(F.count(F.lit(1)).cast("int").alias("attempts"))
+    return jobs.latest_outcomes(log).select("table_name", "rows_extracted", "success").join(attempts, "table_name")
+
+
 @query(
     "run_log_stats",
     f"""SELECT count(*) AS total_transfers, count(*) FILTER (WHERE success) AS successful_transfers,

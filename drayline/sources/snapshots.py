@@ -189,6 +189,13 @@ class SnapshotTable:
         self._check_known(snapshot_id, head)
         return self._rows(head, snapshot_id, snapshot_id)
 
+    def read_between(self, first: int, last: int) -> DataFrame:
+        """The rows that several snapshots added, both ends included."""
+        head = self.head()
+        for snapshot_id in (first, last):
+            self._check_known(snapshot_id, head)
+        return self._rows(head, first, last)
+
     def _check_known(self, snapshot_id: int, head: Row) -> None:
         if not 1 <= snapshot_id <= head.snapshot_id:
             raise ValueError(f"no snapshot {snapshot_id} in {self.path}")
