@@ -975,6 +975,45 @@ def column_stats(spark, sf):
     return summary.column_stats(part_gaps(spark, sf))
 
 
+@query(
+    "snapshot_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS rows, count(*) AS non_null_count, CAST(0 AS BIGINT) AS null_count, true AS distinct_close,
+            {f"CAST(min({c}) AS DOUBLE)" if n else "CAST(NULL AS DOUBLE)"} AS least, {f"CAST(max({c}) AS DOUBLE)" if n else "CAST(NULL AS DOUBLE)"} AS greatest,
+            true AS quartiles_close FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'"""
+        for c, n in (("o_orderkey", 1), ("o_custkey", 1), ("o_orderstatus", 0), ("o_totalprice", 1), ("o_orderdate", 0), ("o_orderpriority", 0))
+    ),
+)
+def snapshot_profile(spark, sf):
+    """The profile of a table's first two loads, merged from what was kept when they were written, beside exact figures of the rows."""
+    log, orders = SnapshotTable(spark, workspace(spark, "profiled"), profiled=True), table(spark, sf, "orders")
+    log.create(orders.where("o_orderdate < '1997-01-01'"))
+    log.append(orders.where("o_orderdate >= '1997-01-01' AND o_orderdate < '2000-01-01'"))
+    log.append(orders.where("o_orderdate >= '2000-01-01'"))
+    rows, numbers = orders.where("o_orderdate < '2000-01-01'"), ("o_orderkey", "o_custkey", "o_totalprice")
+    exact = reconcile.union_all(
+        [
+            rows.agg(
+                F.lit(c).alias("column_name"),
+                F.count_distinct(c).alias("distinct"),
+                *[(F.percentile(F.col(c), p) if c in numbers else F.lit(None).cast("double")).alias(f"p{p}") for p in (0.2, 0.3, 0.45, 0.55, 0.7, 0.8)],
+            )
+            for c in orders.columns
+        ]
+    )
+    between = [F.coalesce(F.col(f"quantile_{q}").between(F.col(f"`p{a}`"), F.col(f"`p{b}`")), F.lit(True)) for q, a, b in ((25, 0.2, 0.3), (50, 0.45, 0.55), (75, 0.7, 0.8))]
+    return log.profile(2).join(exact, "column_name").select(
+        "column_name",
+        "rows",
+        "non_null_count",
+        "null_count",
+        (F.abs(F.col("distinct_estimate") - F.col("distinct")) <= 0.08 * F.col("distinct")).alias("distinct_close"),
+        "least",
+        "greatest",
+        (between[0] & between[1] & between[2]).alias("quartiles_close"),
+    )
+
+
 # The schema each table is filed under, and its column count.
 TABLE_SCHEMAS = {
     "region": "geo",

@@ -61,3 +61,16 @@ RUN_LOG = T.StructType(
         T.StructField("error", T.StringType(), True),
     ]
 )
+
+# One row per snapshot and column: counts and mergeable sketches.
+PROFILE = T.StructType(
+    [
+        T.StructField("field_id", T.IntegerType(), False),
+        T.StructField("rows", T.LongType(), False),
+        T.StructField("non_null", T.LongType(), False),
+        T.StructField("distinct_sketch", T.BinaryType(), True),
+        T.StructField("least", T.DoubleType(), True),
+        T.StructField("greatest", T.DoubleType(), True),
+        T.StructField("quantile_sketch", T.BinaryType(), True),
+    ]
+)

@@ -9,6 +9,9 @@ One writer at a time is assumed.
 Columns have ids that stay (see ``functions.evolution``). ``evolve`` renames, widens or adds columns as a snapshot without rows; files are not
 rewritten. Each snapshot's files are read in the schema they were written in and brought into the current one by id,
 with one scan per schema that the wanted snapshots have.
+
+A table opened with ``profiled`` keeps counts and sketches of every column with each snapshot, taken in the stage that writes it;
+``profile`` merges them for any as-of, by column id, without reading data.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import types as T
 from drayline.functions.evolution import as_current, changes_for, evolved, with_field_ids
 from drayline.operators.projection import align
 from drayline.operators.reconcile import union_all
-from drayline.schemas import COMMITS
-from drayline.session import files_and_bytes, local_rows
+from drayline.operators.sketches import column_sketches, merged_profile, sketch_rows
+from drayline.schemas import COMMITS, PROFILE
+from drayline.session import files_and_bytes, list_names, local_rows
 from drayline.sources.files import MAX_RECORDS_PER_FILE, file_stats, write_parquet
 from drayline.sources.ledger import CommitLog
 
 
 #: The partition column of the data; a table's own columns may have any other name.
 SNAPSHOT = "drayline_snapshot"
+SKETCH = "drayline_sketch_"
 
 
 @dataclass(frozen=True)
@@ -41,8 +46,8 @@ class Appended:
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, profiled: bool = False):
+        self.spark, self.path, self.profiled = spark, path, profiled
         self.data = f"{path}/data"
         self.log = CommitLog(spark, f"{path}/commits", COMMITS, "snapshot_id")
 
@@ -113,18 +118,27 @@ class SnapshotTable:
             raise ValueError(f"the column name {SNAPSHOT!r} is reserved")
         snapshot_id = head.snapshot_id + 1 if head else 1
         folder = f"{self.data}/{SNAPSHOT}={snapshot_id}"
+        schema, last = (_schema(head), head.last_field_id) if head else with_field_ids(df.schema)
+        sketches = column_sketches(schema) if self.profiled else {}
         # The metrics are taken in the writing stage itself, whose retried tasks are counted once.
         seen = Observation()
         observed = df.observe(
-            seen, F.count(F.lit(1)).alias("rows"), *[m.cast("string").alias(n) for n, m in metrics.items()]
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            *[m.cast("string").alias(n) for n, m in metrics.items()],
+            *[m.alias(f"{SKETCH}{n}") for n, m in sketches.items()],
         )
         write_parquet(observed, folder, max_records_per_file=max_records_per_file)
         taken = dict(seen.get)
         rows = taken.pop("rows")
+        sketched = {n: taken.pop(f"{SKETCH}{n}") for n in sketches}
         if rows == 0:
             return Appended(None, 0, taken)
         files, size = files_and_bytes(self.spark, folder)
-        schema, last = (_schema(head), head.last_field_id) if head else with_field_ids(df.schema)
+        if self.profiled:
+            # Before the commit, under the number it will have; the profile of an attempt that fails is overwritten by the next.
+            profile = local_rows(self.spark, sketch_rows(schema, rows, sketched), PROFILE)
+            profile.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/profiles/{SNAPSHOT}={snapshot_id}")
         self._commit(head, txn, schema, head.schema_since if head else 1, last, rows, files, size)
         return Appended(snapshot_id, rows, taken)
 
@@ -226,6 +240,23 @@ class SnapshotTable:
             "snapshot_id", "parent_id", "committed_at", "rows_added", "files_added", "bytes_added", "total_rows", "total_files"
         )
 
+    def profile(self, snapshot_id: int | None = None) -> DataFrame:
+        """One row per current column: rows, non-NULL and NULL counts, distinct values (estimated), least, greatest and quartiles of numbers,
+        of the table as of a snapshot. Only the stored profiles are read; a snapshot with rows that has none is an error."""
+        head = self.head()
+        until = head.snapshot_id if snapshot_id is None else snapshot_id
+        self._check_known(until, head)
+        stored = T.StructType([*PROFILE.fields, T.StructField(SNAPSHOT, T.LongType())])
+        if not list_names(self.spark, f"{self.path}/profiles"):
+            raise ValueError(f"no snapshot of {self.path} has a profile; open the table with profiled=True to write them")
+        parts = self.spark.read.schema(stored).parquet(f"{self.path}/profiles").where(F.col(SNAPSHOT) <= until)
+        have = parts.select(SNAPSHOT).distinct()
+        without = self.log.read().where((F.col("snapshot_id") <= until) & (F.col("rows_added") > 0)).join(have, F.col("snapshot_id") == F.col(SNAPSHOT), "left_anti")
+        missing = without.select("snapshot_id").first()
+        if missing is not None:
+            raise ValueError(f"snapshot {missing[0]} of {self.path} was written without a profile")
+        return merged_profile(parts.withColumnRenamed(SNAPSHOT, "part"), _schema(head))
+
     def files(self) -> DataFrame:
         """Path, bytes, rows and snapshot of each committed data file."""
         head = self.head()

@@ -105,3 +105,53 @@ def test_batch_of_mixed_windows_with_a_failure(spark, tmp_path):
 def test_stats_of_an_empty_log(spark, tmp_path):
     log = spark.createDataFrame([], jobs.RUN_LOG)
     assert tuple(jobs.run_log_stats(log).first()) == (0, 0, 0, 0, 0.0)
+
+
+def slow(spark, rows=10**11):
+    """Spark work that goes on until it is cancelled."""
+    return jobs.Transferred(rows_extracted=spark.range(0, rows, 1, 1).selectExpr("sum(hash(id))").first()[0])
+
+
+def test_a_resumed_batch_takes_only_what_failed(spark, tmp_path):
+    log, ran = str(tmp_path / "log"), []
+
+    def job(name, fails):
+        def run():
+            ran.append(name)
+            if fails:
+                raise RuntimeError("not yet")
+            return jobs.Transferred(rows_extracted=1)
+
+        return jobs.Job(name, "t", run)
+
+    run = jobs.run_batch(spark, [job("a", False), job("b", True), job("c", True)], log)
+    assert jobs.run_batch(spark, [job("a", False), job("b", False), job("c", True)], log, resume=run) == run
+    jobs.run_batch(spark, [job("a", False), job("b", False), job("c", False)], log, resume=run)
+    assert sorted(ran) == ["a", "b", "b", "c", "c", "c"]
+    final = jobs.latest_outcomes(jobs.read_run_log(spark, log, run)).collect()
+    assert sorted((r.table_name, r.success) for r in final) == [("a", True), ("b", True), ("c", True)]
+    assert jobs.read_run_log(spark, log, run).count() == 6
+
+
+def test_a_time_limit_cancels_the_spark_work_of_one_job(spark, tmp_path):
+    log = str(tmp_path / "log")
+    work = [jobs.Job("endless", "t", lambda: slow(spark)), jobs.Job("quick", "t", lambda: jobs.Transferred(spark.range(5).count()))]
+    run = jobs.run_batch(spark, work, log, time_limit=6, pool="{table}")
+    rows = {r.table_name: r for r in jobs.read_run_log(spark, log, run).collect()}
+    assert rows["quick"].success and not rows["endless"].success and "took more than 6 s" in rows["endless"].error
+    assert spark.range(3).count() == 3  # later work is not cancelled
+
+
+def test_a_failure_may_stop_the_others(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def broken():
+        import time
+
+        time.sleep(2)
+        raise RuntimeError("broken")
+
+    work = [jobs.Job("endless", "t", lambda: slow(spark)), jobs.Job("broken", "t", broken), jobs.Job("waiting", "t", lambda: slow(spark))]
+    run = jobs.run_batch(spark, work, log, parallel=2, stop_on_failure=True)
+    errors = {r.table_name: r.error for r in jobs.read_run_log(spark, log, run).collect()}
+    assert "another job failed" in errors["endless"] and "not begun" in errors["waiting"] and errors["broken"] == "RuntimeError: broken"

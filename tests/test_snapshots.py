@@ -194,3 +194,33 @@ def test_commits_are_written_once_and_gathered(spark, table, monkeypatch):
     table.append(simple(spark, 12, 12))
     assert table.head().snapshot_id == 12 and "block-12" in ledger.list_names(spark, f"{table.path}/commits")
     assert table.read().count() == 12
+
+
+# --- Profiles ----------------------------------------------------------------------------------
+
+
+def test_profiles_merge_without_reading_data(spark, tmp_path, plan):
+    table = SnapshotTable(spark, str(tmp_path / "p"), profiled=True)
+    rows = spark.range(20_000).select(F.col("id").cast("int").alias("a"), (F.col("id") % 500).cast("double").alias("b"), F.concat(F.lit("s"), F.col("id") % 37).alias("c"))
+    table.create(rows.where("a < 8000"))
+    table.evolve(rename={"b": "renamed"}, widen={"a": T.LongType()}, add=[T.StructField("late", T.DoubleType())])
+    table.append(rows.where("a >= 4000 AND a < 16000").withColumnRenamed("b", "renamed").withColumn("late", F.when(F.col("a") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("a").cast("double"))))
+    now = {r.column_name: r for r in table.profile().collect()}
+    assert now["a"].rows == 20_000 and now["a"].non_null_count == 20_000 and now["late"].null_count == 8000
+    assert abs(now["a"].distinct_estimate - 16_000) < 800  # a widened column's values are the same values
+    assert abs(now["renamed"].distinct_estimate - 500) < 25 and abs(now["c"].distinct_estimate - 37) <= 2
+    assert (now["a"].least, now["a"].greatest) == (0.0, 15_999.0) and abs(now["a"].quantile_50 - 7000) < 400
+    assert (now["late"].least, now["late"].greatest) == (4001.0, 15_999.0) and now["c"].quantile_25 is None
+    first = {r.column_name: r for r in table.profile(1).collect()}
+    assert first["a"].rows == 8000 and "late" not in first or first["late"].non_null_count == 0
+    assert "drayline_snapshot" in plan(table.profile()) and f"{table.path}/data" not in plan(table.profile())
+
+
+def test_a_snapshot_without_a_profile_is_named(spark, tmp_path):
+    path = str(tmp_path / "p")
+    SnapshotTable(spark, path).create(simple(spark, 1, 5))
+    with pytest.raises(ValueError, match="no snapshot of"):
+        SnapshotTable(spark, path).profile()
+    SnapshotTable(spark, path, profiled=True).append(simple(spark, 6, 9))
+    with pytest.raises(ValueError, match="snapshot 1 of"):
+        SnapshotTable(spark, path).profile()
