@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drayline.operators.merge import has_null_key
+from drayline.operators.projection import free_name
 from drayline.session import local_rows
 
 MATCH, MISMATCH = "MATCH", "MISMATCH"
@@ -77,15 +78,16 @@ def reconcile_rows(
     mismatches on their own.
     """
     columns = [*key, *compare]
+    in_s, in_t, no_key, one_s, one_t = (free_name(columns, n) for n in ("_s", "_t", "_null_key", "_source", "_target"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    sides = source.select(*columns, one.alias("_s"), zero.alias("_t")).unionByName(
-        target.select(*columns, zero.alias("_s"), one.alias("_t"))
+    sides = source.select(*columns, one.alias(in_s), zero.alias(in_t)).unionByName(
+        target.select(*columns, zero.alias(in_s), one.alias(in_t))
     )
     # The NULL test is an aggregate so that no branch below filters ahead of the shuffle: all read the same one.
     contents = sides.groupBy(*columns).agg(
-        F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.bool_or(has_null_key(key)).alias("_null_key")
+        F.sum(in_s).alias(in_s), F.sum(in_t).alias(in_t), F.bool_or(has_null_key(key)).alias(no_key)
     )
-    s, t, null_key = F.col("_s"), F.col("_t"), F.col("_null_key")
+    s, t, null_key = F.col(in_s), F.col(in_t), F.col(no_key)
 
     def both(value) -> list[Column]:
         return [value(c, side) for c in compare for side in ("source", "target")]
@@ -102,18 +104,18 @@ def reconcile_rows(
     )
 
     left_s, left_t = F.greatest(s - t, zero), F.greatest(t - s, zero)
-    leftover = contents.where(~null_key & (s != t)).select(*columns, left_s.alias("_s"), left_t.alias("_t"))
+    leftover = contents.where(~null_key & (s != t)).select(*columns, left_s.alias(in_s), left_t.alias(in_t))
     row = F.struct(*compare)
     differing = leftover.groupBy(*key).agg(
-        F.max(F.when(s > 0, row)).alias("_source"),
-        F.max(F.when(t > 0, row)).alias("_target"),
-        F.sum("_s").alias("source_rows"),
-        F.sum("_t").alias("target_rows"),
+        F.max(F.when(s > 0, row)).alias(one_s),
+        F.max(F.when(t > 0, row)).alias(one_t),
+        F.sum(in_s).alias("source_rows"),
+        F.sum(in_t).alias("target_rows"),
     )
     single = (F.col("source_rows") <= 1) & (F.col("target_rows") <= 1)
     pairs = differing.where(single).select(
         *key,
-        *both(lambda c, side: F.col(f"_{side}.{c}").alias(f"{c}_{side}")),
+        *both(lambda c, side: F.col(one_s if side == "source" else one_t)[c].alias(f"{c}_{side}")),
         "source_rows",
         "target_rows",
         F.lit(MISMATCH).alias("status"),
@@ -122,7 +124,7 @@ def reconcile_rows(
     def one_sided(rows: DataFrame) -> DataFrame:
         return rows.select(
             *key,
-            *both(lambda c, side: F.when(F.col("_s" if side == "source" else "_t") > 0, F.col(c)).alias(f"{c}_{side}")),
+            *both(lambda c, side: F.when((s if side == "source" else t) > 0, F.col(c)).alias(f"{c}_{side}")),
             s.alias("source_rows"),
             t.alias("target_rows"),
             F.lit(MISMATCH).alias("status"),

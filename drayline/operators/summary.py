@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayline.functions.windows import static_window, window_and_where
+from drayline.operators.projection import free_name
 from drayline.operators.reconcile import average, schema_diff, total
 
 
@@ -91,14 +92,15 @@ def schema_report(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def column_stats(df: DataFrame) -> DataFrame:
     """Type, non-NULL and NULL count of every column, in one pass."""
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])
+    every = free_name(df.columns, "_rows")
+    counts = df.agg(F.count(F.lit(1)).alias(every), *[F.count(F.col(c)).alias(c) for c in df.columns])
     entries = F.array(
         *[
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 F.col(f.name).alias("non_null_count"),
-                (F.col("_rows") - F.col(f.name)).alias("null_count"),
+                (F.col(every) - F.col(f.name)).alias("null_count"),
             )
             for f in df.schema
         ]

@@ -147,3 +147,14 @@ def test_conditional_summary(spark):
     assert tuple(summary.conditional_summary(df.limit(0), measures).first()) == (0, 0, None, None, None)
     with pytest.raises(ValueError):
         summary.conditional_summary(df, [summary.Measure("x", "median", "amount")])
+
+
+def test_columns_named_like_helpers(spark):
+    from drayline.operators.reconcile import reconcile_rows
+
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "_s int, _t string, _null_key int")
+    b = spark.createDataFrame([(1, "x", 5), (2, "z", 6)], "_s int, _t string, _null_key int")
+    got = {r._s: (r._t_source, r._t_target, r.status) for r in reconcile_rows(a, b, ["_s"], ["_t", "_null_key"]).collect()}
+    assert got == {1: ("x", "x", "MATCH"), 2: ("y", "z", "MISMATCH")}
+    stats = {r.column_name: r.non_null_count for r in summary.column_stats(spark.createDataFrame([(1, None)], "_rows int, b int")).collect()}
+    assert stats == {"_rows": 1, "b": 0}
