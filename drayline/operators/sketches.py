@@ -83,11 +83,12 @@ def merged_profile(parts: DataFrame, schema: T.StructType) -> DataFrame:
     quartiles = [
         F.when(F.col("greatest").isNotNull(), F.kll_sketch_get_quantile_double("q", F.lit(p))).alias(f"quantile_{int(p * 100)}") for p in QUANTILES
     ]
-    return known.crossJoin(F.broadcast(total)).select(
+    rows = total.scalar()
+    return known.select(
         "column_name",
-        "rows",
+        rows.alias("rows"),
         "non_null_count",
-        (F.col("rows") - F.col("non_null_count")).alias("null_count"),
+        (rows - F.col("non_null_count")).alias("null_count"),
         F.hll_sketch_estimate("d").alias("distinct_estimate"),
         "least",
         "greatest",
