@@ -30,11 +30,18 @@ from drayline.llm.components import components
 from drayline.session import workspace
 
 SKETCH_WORDS = 8
+#: The shorter sketch that a document's differences carry, so that a region's join itself excludes pairs.
+SHORT_WORDS = 4
 #: Documents of cells up to this size are compared with each other by their sketches, those of larger ones around a pivot.
 SMALL_CELL = 8
 #: Rows that go to a Python worker at once, as each may hold two sets.
 BATCH_ROWS = 1_000
+#: Of these so many at a time where each becomes many rows.
+SLICE_ROWS = 200
 MAX_SALTS = 200
+#: Parts beyond those that must be there, as a share of the differences of a linked pair; each is one cell more to spare.
+SPARE_SHARE = 0.15
+MOST_SPARED = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -57,7 +64,11 @@ class Threshold:
 
 
 class Cells:
-    """The regions a set belongs to."""
+    """The cells a set belongs to, and how many of them it can spare.
+
+    Where a set fills more parts than must agree, a linked set shares as many cells more with it. In any order of all cells that is the
+    same for all sets, both can then leave out that many of their last ones and still meet in the first one they share.
+    """
 
     def __init__(self, threshold: Threshold) -> None:
         self.threshold, self.starts = threshold, threshold.class_starts(1)
@@ -68,13 +79,14 @@ class Cells:
         if j not in self.shape:
             k = self.threshold.differences(self.starts[j + 1] - 1)
             empty = (k + 1) * np.exp(-self.starts[j] / (k + 1))
-            self.shape[j] = (k + 1 + (int(np.ceil(empty + 2 * np.sqrt(empty))) if k else 0), k)
+            self.shape[j] = (k + 1 + (int(np.ceil(empty + 2 * np.sqrt(empty) + SPARE_SHARE * k)) if k else 0), k)
         return self.shape[j]
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells, and beside each how many may be left out of those of its size class, which the lowest bit tells from the next."""
         n = len(shingles)
         if not n:
-            return shingles
+            return shingles, np.zeros(0, dtype=np.int16)
         if self.starts[-1] <= n:
             self.starts = self.threshold.class_starts(n)
         own = int(np.searchsorted(self.starts, n, "right")) - 1
@@ -82,7 +94,7 @@ class Cells:
         if own and n <= (self.starts[own] - 1) * self.threshold.whole // self.threshold.part:
             classes.append(own - 1)
         sorted_by_salt: dict[int, np.ndarray] = {}
-        out = []
+        out, spare = [], []
         with np.errstate(over="ignore"):
             for j in classes:
                 m, k = self._parts(j)
@@ -93,12 +105,22 @@ class Cells:
                     part = ((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
                     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                     tag = text.mix((np.uint64(j) << np.uint64(44)) + (np.uint64(salt) << np.uint64(32)) + part[first])
-                    out.append(text.mix(np.add.reduceat(text.mix(x), first) ^ tag))
+                    out.append((text.mix(np.add.reduceat(text.mix(x), first) ^ tag) & ~np.uint64(1)) | np.uint64(j & 1))
+                    # those of further salts are few: all are kept
+                    spare.append(np.full(len(first), 0 if salt else min(MOST_SPARED, max(0, len(first) - k - 1)), dtype=np.int16))
                     if len(first) > k:  # fewer empty parts than parts that must agree
                         break
                 else:
                     raise ValueError("no salt deals the set to enough parts")
-        return np.concatenate(out)
+        return np.concatenate(out), np.concatenate(spare)
+
+
+def parity_sketch(mixed: np.ndarray, rows: np.ndarray, many: int, words: int) -> np.ndarray:
+    """(rows, words): for each of 64 * words slots whether an odd number of a row's hashes falls in it."""
+    slots = 64 * words
+    slot = rows * slots + (mixed % np.uint64(slots)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=many * slots) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(many, -1), axis=1).reshape(-1).view(np.int64).reshape(many, words)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -109,7 +131,6 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and its parity sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.uint64(64 * SKETCH_WORDS)
         for batch in text.each_chunk(batches):
             shingles, bounds = text.shingle_sets(text.words(batch.column("text")), words)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -119,9 +140,7 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
                 for values in (mixed, text.mix(mixed ^ np.uint64(0x777))):
                     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)])
                     prints.append(text.signed(sums[bounds[1:]] - sums[bounds[:-1]]))
-            cell = rows * (64 * SKETCH_WORDS) + (mixed % bits).astype(np.int64)
-            odd = (np.bincount(cell, minlength=batch.num_rows * 64 * SKETCH_WORDS) & 1).astype(np.uint8)
-            sketch = np.packbits(odd.reshape(batch.num_rows, -1), axis=1).reshape(-1).view(np.int64).reshape(batch.num_rows, SKETCH_WORDS)
+            sketch = parity_sketch(mixed, rows, batch.num_rows, SKETCH_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, prints), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS))],
                 ["doc_id", "n", "fa", "fb", *(f"s{i}" for i in range(SKETCH_WORDS))],
@@ -144,11 +163,12 @@ def document_cells(docs: DataFrame, threshold: Threshold) -> DataFrame:
         cells = Cells(threshold)
         for batch in text.each_chunk(batches):
             shingles, bounds = text.shingle_sets(text.words(batch.column("text")), threshold.words)
-            found = [cells.of(shingles[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            found, spare = zip(*(cells.of(shingles[a:b]) for a, b in zip(bounds[:-1], bounds[1:])))
             ids = np.repeat(batch.column("doc_id").to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(text.signed(np.concatenate(found))), pa.array(ids, pa.int64())], ["cell", "doc"])
+            columns = [pa.array(text.signed(np.concatenate(found))), pa.array(ids, pa.int64()), pa.array(np.concatenate(spare))]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "doc", "spare"])
 
-    return _rows(docs).mapInArrow(run, "cell long, doc long")
+    return _rows(docs).mapInArrow(run, "cell long, doc long, spare short")
 
 
 class Join:
@@ -193,10 +213,16 @@ class Join:
         return measured.where(f"{self.threshold.whole} * both >= {self.threshold.part} * either").select("a", "b")
 
     def shared_cells(self, cells: DataFrame) -> DataFrame:
-        """(cell, doc, size) of the cells of two documents or more."""
+        """``cells`` of two documents or more, with their size."""
         cell = Window.partitionBy("cell")
         shared = cells.withColumns({"low": F.min("doc").over(cell), "high": F.max("doc").over(cell), "size": F.count("*").over(cell)})
-        return shared.where("low <> high").select("cell", "doc", "size")
+        return shared.where("low <> high").drop("low", "high")
+
+    def needed_cells(self, shared: DataFrame) -> DataFrame:
+        """(cell, doc) without the largest cells of each document, as many as it can spare. Where texts share an id and the number to
+        spare, fewer are left out."""
+        largest = Window.partitionBy("doc", "spare", F.col("cell").bitwiseAND(F.lit(1))).orderBy(F.desc("size"), "cell")
+        return shared.withColumn("place", F.row_number().over(largest)).where("place > spare").select("cell", "doc")
 
     def near_each_other(self, members: DataFrame) -> DataFrame:
         """(a, b) of the small cells. A document meets fewer than ``SMALL_CELL`` others in each."""
@@ -204,25 +230,26 @@ class Join:
         a, b = small.select("cell", F.col("doc").alias("a")), small.select("cell", F.col("doc").alias("b"))
         return a.join(b, "cell").where("a < b").select("a", "b").distinct()
 
-    def regions(self, members: DataFrame) -> DataFrame:
-        """(pivot, doc) for all documents of all pivots of the larger cells, without the pivot itself."""
+    def pivoted(self, members: DataFrame) -> DataFrame:
+        """(cell, pivot, doc) of the larger cells, without the pivot itself."""
         large = members.where(f"size > {SMALL_CELL}")
         central = members.groupBy("doc").agg(F.sum("size").alias("weight"))
         first = F.max(F.struct("weight", (-F.col("doc")).alias("minus")))
         pivots = large.join(central, "doc").groupBy("cell").agg(first.alias("first")).select("cell", (-F.col("first.minus")).alias("pivot"))
-        return large.join(pivots, "cell").where("doc <> pivot").select("pivot", "doc").distinct()
+        return large.join(pivots, "cell").where("doc <> pivot").select("cell", "pivot", "doc")
 
-    def open_regions(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
-        """(pivot, doc, component, own) of regions in which two documents beside the pivot, not of the same component, may be
+    def open_regions(self, pivoted: DataFrame, labels: DataFrame) -> DataFrame:
+        """(pivot, doc, component, own) of the documents with a cell in which two beside the pivot, not of the same component, may be
         linked; ``own`` tells that the document is in the pivot's component."""
         label = labels.withColumnRenamed("component", "label")
-        placed = regions.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("label", "doc")).drop("label")
+        placed = pivoted.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("label", "doc")).drop("label")
         placed = placed.join(label.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("own", F.col("component") == F.coalesce("label", "pivot")).drop("label")
-        several = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot")
-        return placed.join(several, "pivot")
+        several = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
+        return placed.join(several, "cell").select("pivot", "doc", "component", "own").distinct()
 
     def differences(self, regions: DataFrame) -> DataFrame:
-        """(pivot, element, doc, component, own, n, apart): a prefix of each document's differences from its pivot.
+        """(pivot, element, doc, component, own, n, apart, k0...): a prefix of each document's differences from its pivot, and a short
+        sketch of its set.
 
         With r = (1 - t) / (1 + t), a linked pair differs in at most K = r (nx + ny) shingles and so shares at least
         (apart x + apart y - K) / 2 of its differences. A document outside the pivot's component needs apart - (1 - t) / t n
@@ -232,11 +259,12 @@ class Join:
         """
         t = self.threshold
         r = (t.whole - t.part) / (t.whole + t.part)
-        names = ["pivot", "element", "doc", "component", "own", "n", "apart"]
+        short = [f"k{i}" for i in range(SHORT_WORDS)]
+        names = ["pivot", "element", "doc", "component", "own", "n", "apart", *short]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, n, apart = [], [], []
+            for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+                found, n, apart, sketches = [], [], [], []
                 for own, x, y in zip(batch.column("own").to_pylist(), batch.column("x"), batch.column("y")):
                     mine, pivot = x.values.to_numpy(), y.values.to_numpy()
                     new, lost = np.setdiff1d(mine, pivot, assume_unique=True), np.setdiff1d(pivot, mine, assume_unique=True)
@@ -248,25 +276,30 @@ class Join:
                     found.append(prefix)
                     n.append(len(mine))
                     apart.append(size)
+                    sketches.append(parity_sketch(text.mix(mine.view(np.uint64)), np.zeros(len(mine), dtype=np.int64), 1, SHORT_WORDS))
                 if found:
                     times = [len(f) for f in found]
-                    columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "doc", "component", "own")), np.array(n), np.array(apart)]
+                    columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "doc", "component", "own")), np.array(n), np.array(apart), *np.concatenate(sketches).T]
                     pivot, *rest = (pa.array(np.repeat(c, times)) for c in columns)
                     yield pa.RecordBatch.from_arrays([pivot, pa.array(np.concatenate(found), pa.int64()), *rest], names)
 
         x, y = (self.sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("doc", "x"), ("pivot", "y")))
         both = regions.join(x, "doc").join(y, "pivot").select("pivot", "doc", "component", "own", "x", "y")
-        return both.mapInArrow(run, "pivot long, element long, doc long, component long, own boolean, n long, apart long")
+        return both.mapInArrow(run, "pivot long, element long, doc long, component long, own boolean, n long, apart long, " + ", ".join(f"{k} long" for k in short))
 
     def inner_pairs(self, prefixes: DataFrame) -> DataFrame:
         """Pairs of different components that share an element in a region and whose distances from the pivot, by the
-        triangle inequality, allow a link."""
+        triangle inequality, and short sketches allow a link."""
         t = self.threshold
         outside = prefixes.where("not own")
-        x = outside.select("pivot", "element", *(F.col(c).alias("x" + c) for c in ("doc", "component", "n", "apart")))
-        y = prefixes.select("pivot", "element", "own", *(F.col(c).alias("y" + c) for c in ("doc", "component", "n", "apart")))
-        window = F.abs(F.col("xapart") - F.col("yapart")) * (t.whole + t.part) <= (F.col("xn") + F.col("yn")) * (t.whole - t.part)
-        met = x.join(y, ["pivot", "element"]).where((F.col("xcomponent") != F.col("ycomponent")) & (F.col("own") | (F.col("xdoc") < F.col("ydoc"))) & window)
+        short = [f"k{i}" for i in range(SHORT_WORDS)]
+        columns = ["doc", "component", "n", "apart", *short]
+        x = outside.select("pivot", "element", *(F.col(c).alias("x" + c) for c in columns))
+        y = prefixes.select("pivot", "element", "own", *(F.col(c).alias("y" + c) for c in columns))
+        odd = [F.bit_count(F.col("x" + k).bitwiseXOR(F.col("y" + k))) for k in short]
+        apart = F.greatest(F.abs(F.col("xapart") - F.col("yapart")), sum(odd[1:], odd[0]).cast("long"))
+        near = apart * (t.whole + t.part) <= (F.col("xn") + F.col("yn")) * (t.whole - t.part)
+        met = x.join(y, ["pivot", "element"]).where((F.col("xcomponent") != F.col("ycomponent")) & (F.col("own") | (F.col("xdoc") < F.col("ydoc"))) & near)
         return met.select(F.least("xdoc", "ydoc").alias("a"), F.greatest("xdoc", "ydoc").alias("b")).distinct()
 
     def run(self) -> DataFrame:
@@ -277,10 +310,12 @@ class Join:
         one_text = known.groupBy("doc_id").agg(((F.min("fa") == F.max("fa")) & (F.min("fb") == F.max("fb"))).alias("sure")).where("sure").select("doc_id")
         copies = self.kept(known.join(classes, ["fa", "fb", "n"]).where("doc_id <> rep").select("doc_id").join(one_text, "doc_id"), "copies")
         distinct_docs = _rows(self.docs).where("doc_id is not null").join(copies, "doc_id", "left_anti")
-        members = self.kept(self.shared_cells(document_cells(distinct_docs, t)), "cells")
+        shared = self.kept(self.shared_cells(document_cells(distinct_docs, t)), "shared-cells")
+        members = self.kept(self.shared_cells(self.needed_cells(shared)), "cells")
         ids = self.kept(members.select(F.col("doc").alias("doc_id")).distinct(), "members")
         self.member_keys = known.join(ids, "doc_id").dropDuplicates(["doc_id", "fa", "fb"])
-        regions = self.kept(self.regions(members), "regions")
+        pivoted = self.kept(self.pivoted(members), "pivoted")
+        regions = self.kept(pivoted.select("pivot", "doc").distinct(), "regions")
         pivots = regions.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b"))
         near = self.kept(self.possible(self.near_each_other(members).unionByName(pivots).distinct()), "near")
         # sets only of documents that still take part
@@ -289,7 +324,7 @@ class Join:
         self.sets = self.kept(shingle_arrays(_rows(self.docs).join(ids, "doc_id"), t.words).dropDuplicates(["doc_id", "shingles"]), "sets")
         links = self.kept(self.links(self.measured(near)), "links")
         labels = components(self.spark, links)
-        prefixes = self.kept(self.differences(self.open_regions(regions, labels)), "differences")
+        prefixes = self.kept(self.differences(self.open_regions(pivoted, labels)), "differences")
         found = self.kept(self.links(self.measured(self.possible(self.inner_pairs(prefixes)))), "inner-links")
         if not found.isEmpty():
             labels = components(self.spark, links.unionByName(found))

@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from drayline.llm import jaccard
@@ -59,3 +60,52 @@ def test_chains_and_stars(spark):
     found = {r.node: r.component for r in components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)} | {200: 200, 201: 200}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_beyond_the_threshold_are_not_paired(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(149)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 149, 5), 5):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    line = base[:30]
+    texts += [" ".join(line + [f"y{rng.randrange(10**9)}" for _ in range(rng.randint(5, 60))]) for _ in range(80)]
+    docs = list(enumerate(texts, 1))
+    looked_up = []
+    possible = jaccard.Join.possible
+
+    def counted(self, pairs):
+        looked_up.append(pairs.count())
+        return possible(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "possible", counted)
+    found = jaccard.linked_documents(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), 80, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.linked(docs, 80, 5)
+    assert looked_up[-1] < 500  # of 7140 pairs within the family
+
+
+def test_spared_cells_lose_no_pair():
+    rng = random.Random(8)
+    threshold = jaccard.Threshold(80, 100, 5)
+    cells = jaccard.Cells(threshold)
+    sets = []
+    for size in (4, 9, 30, 31, 80, 200, 420):
+        base = [rng.getrandbits(63) for _ in range(size)]
+        for edits in range(0, size // 8 + 1, max(1, size // 40)):
+            for added in {edits, 2 * edits, 0}:
+                sets.append(set(rng.sample(base, size - edits)) | {rng.getrandbits(63) for _ in range(added)})
+    placed = []
+    for one in sets:
+        found, spare = cells.of(np.sort(np.array(list(one), dtype=np.uint64)))
+        groups: dict = {}
+        for cell, most in zip(found.tolist(), spare.tolist()):
+            groups.setdefault((cell & 1, most), []).append(cell)
+        # any order that is the same for all sets: here that of the numbers
+        placed.append({c for (_, most), g in groups.items() for c in sorted(g)[: len(g) - most]})
+        assert sum(most for _, most in groups if most) > 0 or len(one) < 10
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 50
+    assert all(placed[a] & placed[b] for a, b in pairs)
