@@ -2,7 +2,9 @@
 
 A code is cut into segments of equal width, each with an index from value to codes. A round with radius r looks up every
 segment value within r bit flips. After it, each code at a distance below segments * (r + 1) has been met in some segment,
-so a query whose kth nearest distance is below that bound is finished; the others go on with r + 1.
+so a query whose kth nearest distance is below that bound is finished; the others go on with r + 1. The kth distance so far bounds what is
+still of use: codes beyond it are dropped where they are met, and of the m segments only the first a are looked up with radius r once
+it is below m * r + a, as all codes below that distance have then been met.
 
 Equal codes are one entry of the index and equal query codes are searched once, so copies of a vector meet no one in
 pairs. A code keeps its k + 1 smallest ids, which is all that a ranking by distance and id can use of it.
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from drayline.session import workspace
 
 LEAST_BITS, MOST_BITS = 4, 24
+#: Look-ups of a task; each meets about sixteen codes.
+TASK_LOOKUPS = 1 << 15
 
 
 def segment_width(codes: int) -> int:
@@ -58,23 +62,30 @@ class Search:
         each = [F.bit_count(F.col("q" + w).bitwiseXOR(F.col("c" + w))).cast("int") for w in self.words]
         return sum(each[1:], each[0])
 
-    def codes_met(self, queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
-        """(query, code, held, distance) of the codes with a segment at exactly this radius of the query's."""
-        masks = F.array(*[F.lit(m).cast("long") for m in flips(radius, self.width)])
-        asked = queries.select(F.col("code").alias("query"), *(F.col(w).alias("q" + w) for w in self.words), F.posexplode(F.array(*self.words)).alias("segment", "own"))
+    def codes_met(self, queries: DataFrame, how_many: int, index: DataFrame, radius: int) -> DataFrame:
+        """(query, code, held, distance) of the codes with a segment at exactly this radius of the query's, but those beyond its
+        ``bound`` and those that are met otherwise if within it."""
+        flipped = flips(radius, self.width)
+        masks = F.array(*[F.lit(m).cast("long") for m in flipped])
+        asked = queries.select("bound", F.col("code").alias("query"), *(F.col(w).alias("q" + w) for w in self.words), F.posexplode(F.array(*self.words)).alias("segment", "own"))
+        asked = asked.where(f"bound is null or segment <= bound - {len(self.words) * radius}")
+        tasks = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), how_many * len(self.words) * len(flipped) // TASK_LOOKUPS)
+        if tasks > 1:
+            asked = asked.repartition(tasks, "query", "segment")
         asked = asked.withColumn("value", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)))).drop("own")
-        return asked.join(index, ["segment", "value"]).select("query", "code", "held", self.apart().alias("distance")).distinct()
+        met = asked.join(index, ["segment", "value"]).where(F.col("bound").isNull() | (self.apart() <= F.col("bound")))
+        return met.select("query", "code", "held", self.apart().alias("distance")).distinct()
 
     def nearest(self, met: DataFrame, reach: int) -> DataFrame:
-        """Of the codes met by each query, the nearest that can hold its k nearest ids beside its own, and whether these are
-        proven: all codes at a distance below ``reach`` have been met."""
+        """Of the codes met by each query, the nearest that can hold its k nearest ids beside its own, the distance ``bound`` within which
+        these lie, and whether they are proven: all codes at a distance below ``reach`` have been met."""
         first = Window.partitionBy("query").orderBy("distance", "code")
         upto = Window.partitionBy("query").orderBy("distance", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         query = Window.partitionBy("query")
         near = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= self.k + 1).drop("place")
         full = near.withColumn("so_far", F.sum("held").over(upto))
         kth = F.min(F.when(F.col("so_far") >= self.k + 1, F.col("distance"))).over(query)
-        return full.withColumn("proven", F.coalesce(kth < reach, F.lit(False))).drop("so_far")
+        return full.withColumn("bound", kth).withColumn("proven", F.coalesce(F.col("bound") < reach, F.lit(False))).drop("so_far")
 
     def run(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
         ranked = self.coded(vectors).distinct().withColumn("place", F.row_number().over(Window.partitionBy(*self.words).orderBy("vec_id"))).where(F.col("place") <= self.k + 1)
@@ -84,11 +95,12 @@ class Search:
         # a query code that no vector has is searched under its own smallest id, told apart by its sign
         own = F.coalesce("code", -F.min("vec_id").over(Window.partitionBy(*self.words)) - 1)
         asked = self.kept(self.coded(queries).distinct().join(codes.drop("ids", "held"), self.words, "left").withColumn("code", own), "query-codes")
-        active = asked.select("code", *self.words).distinct()
+        active = asked.select("code", *self.words).distinct().withColumn("bound", F.lit(None).cast("int"))
+        how_many = active.count()
         done: list[DataFrame] = []
         met: DataFrame | None = None
         for radius in range(self.width + 1):
-            found = self.codes_met(active, index, radius)
+            found = self.codes_met(active, how_many, index, radius)
             if met is not None:
                 found = found.unionByName(met).distinct()
             near = self.kept(self.nearest(found, len(self.words) * (radius + 1)), "nearest")
@@ -96,10 +108,12 @@ class Search:
                 done.append(near)
                 break
             done.append(near.where("proven"))
-            active = active.join(near.where("proven").select(F.col("query").alias("code")).distinct(), "code", "left_anti")
-            if active.isEmpty():
+            state = near.select(F.col("query").alias("code"), "proven", "bound").distinct()
+            active = active.drop("bound").join(state, "code", "left").where("proven is null or not proven").drop("proven")
+            how_many = active.count()
+            if not how_many:
                 break
-            met = near.where("not proven").drop("proven")
+            met = near.where("not proven").drop("proven", "bound")
         best = done[0]
         for more in done[1:]:
             best = best.unionByName(more)
