@@ -12,11 +12,12 @@ buckets of documents, so that no length is handled by a single task.
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,70 @@ from drayline.llm import text as texts_of
 from drayline.llm.bpe import MergeTable
 from drayline.session import workspace
 
-CACHE_WORDS = 1 << 19
+TOGETHER_BYTES = 1 << 24
 LONGEST = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 1
 
+KEPT = np.arange(256, dtype=np.uint8)
+#: Line ends and TAB cut words as a space does.
+SPACES = KEPT.copy()
+SPACES[[9, 10, 13]] = 32
+#: What a byte of a word is. An apostrophe may begin a contraction and a < a special token, so the library tokenizes such words.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+KINDS[33:127] = SIGN
+KINDS[[ord(c) for c in "'<"]] = OTHER
+KINDS[65:91] = KINDS[97:123] = LETTER
+KINDS[32] = SPACE
+KINDS[48:58] = DIGIT
+
+
+def _latin_lower() -> np.ndarray:
+    """The lower-case form of letters below U+0250 beyond ASCII that is one such letter too, else 0."""
+    lower = [c.lower() if (c := chr(i)).isalpha() else "" for i in range(0x80, 0x250)]
+    kept = [ord(c) if len(c) == 1 and 0x80 <= ord(c) < 0x250 and unicodedata.normalize("NFC", c) == c else 0 for c in lower]
+    return np.array([0] * 0x80 + kept + [0] * (0x800 - 0x250))
+
+
+LATIN_LOWER = _latin_lower()
+
+
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """Values that lie one behind the other; the data is not copied."""
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _bounds(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+@dataclass
+class Ids:
+    """Lists of token ids: list i is ``flat[first[i] : first[i] + counts[i]]``."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[bytes]) -> Ids:
+        counts = np.array([len(x) // 4 for x in lists], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(lists), dtype="<u4"), _bounds(counts)[:-1], counts)
+
+    def joined(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chosen lists one behind the other, and the bounds of each."""
+        counts = self.counts[chosen]
+        bounds = _bounds(counts)
+        return self.flat[np.repeat(self.first[chosen] - bounds[:-1], counts) + np.arange(bounds[-1])], bounds
+
 
 class WordTokenizer:
-    """Token ids of words. What is kept has the size of the vocabulary.
+    """Token ids of many words together.
 
-    A word of lower-case Latin letters is one piece, which no normalisation changes; such words are merged many at a time. The library
-    tokenizes the others.
+    A run of Latin letters, a digit, and a run of ASCII signs are a piece each, and normalisation only lower-cases them; the distinct
+    pieces of such words are merged many at a time. The library tokenizes the other words.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,57 +101,74 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = MergeTable(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.marks = {m: self._ids([m])[0] for m in ",."}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str], known: dict[str, bytes]) -> None:
-        """Add the ids of words to the known ones. A comma or full stop after a Latin letter is a token of its own (a dotted capital I
-        leaves a mark); the word before it is kept for itself."""
-        new, derived = set(), []
-        for word in words:
-            stem = word.lower() if word.isascii() else word
-            mark = stem[-1]
-            if mark in self.marks and "\u0250" > (before := stem[-2:-1]) != "\u0130" and before.isalpha():
-                stem = stem[:-1]
-                derived.append((word, stem, mark))
-            elif stem != word:
-                derived.append((word, stem, ""))
-            if stem not in known:
-                new.add(stem)
-        simple, others = [], []
-        for stem in new:
-            if stem.isalpha() and len(stem) <= LONGEST and stem.islower() and (stem.isascii() or max(stem) < "\u0250"):
-                simple.append((stem.encode(), stem))
-            else:
-                others.append(stem)
-        known.update(self.merges.merged_by_length(simple))
-        for at in range(0, len(others), 10_000):
-            part = others[at : at + 10_000]
-            known.update(zip(part, self._ids(part)))
-        for word, stem, mark in derived:
-            known[word] = known[stem] + self.marks[mark] if mark else known[stem]
-
 
-class WordIds:
-    """Ids of words met in a task, forgotten when there are too many.
-
-    The tokenizer never joins characters across white space, so a text's ids are those of its words.
-    """
-
-    def __init__(self, tokenizer: WordTokenizer) -> None:
-        self.tokenizer, self.known = tokenizer, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as little-endian 32-bit numbers; their new words are tokenized together."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        met = set(chain.from_iterable(words))
-        missing = met.difference(self.known)
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known, missing = {"": b""}, met - {""}
-        self.tokenizer.learn(missing, self.known)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 10_000):
+            some = [w.decode() for w in words[at : at + 10_000]]
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def pieces(self, pieces: list[bytes]) -> Ids:
+        """Ids of distinct pieces; a space has none."""
+        place = {p: i for i, p in enumerate(pieces)}
+        out = [b""] * len(pieces)
+        short = [(p, i) for p, i in place.items() if len(p) <= LONGEST and p != b" "]
+        for i, ids in self.merges.merged_by_length(short):
+            out[i] = ids
+        long = [p for p in pieces if len(p) > LONGEST]
+        for p, ids in zip(long, self._ids(long)):
+            out[place[p]] = ids
+        return Ids.of(out)
+
+    def words(self, words: pa.BinaryArray) -> Ids:
+        """Ids of words, each of which may begin with a space."""
+        data, row_bytes = texts_of.text_bytes(words, KEPT)
+        kinds = KINDS[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xCA))
+        lead = lead[lead + 1 < len(data)]
+        lower = LATIN_LOWER[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+        lead, lower = lead[lower > 0], lower[lower > 0]
+        data[lead], data[lead + 1] = 0xC0 | lower >> 6, 0x80 | lower & 63
+        kinds[lead] = kinds[lead + 1] = LETTER
+        strange = np.diff(_bounds(kinds == OTHER)[row_bytes]) > 0
+        sizes = np.diff(row_bytes)
+        plain = np.repeat(~strange, sizes)
+        data, kinds = texts_of.LOWER[data[plain]], kinds[plain]
+        row_bytes = _bounds(sizes[~strange])
+        begins = np.ones(len(data), dtype=bool)
+        begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+        begins[row_bytes[:-1]] = True
+        starts = np.flatnonzero(begins)
+        found = _binary(data, starts).dictionary_encode()
+        flat, bounds = self.pieces(found.dictionary.to_pylist()).joined(found.indices.to_numpy())
+        plain_bounds = bounds[np.searchsorted(starts, row_bytes)]
+        others = Ids.of(self._ids(words.filter(pa.array(strange)).to_pylist()))
+        first, counts = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
+        first[~strange], counts[~strange] = plain_bounds[:-1], np.diff(plain_bounds)
+        first[strange], counts[strange] = others.first + len(flat), others.counts
+        return Ids(np.concatenate([flat, others.flat]), first, counts)
+
+    def texts(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+        """Ids of each text, then the end id. The tokenizer never joins characters across white space, so a text's ids are those of its
+        words, and every distinct word is tokenized once. A NULL text is empty."""
+        data, row_bytes = texts_of.text_bytes(texts, SPACES)
+        begins = data == 32
+        begins[row_bytes[:-1][row_bytes[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        first = np.searchsorted(starts, row_bytes)
+        found = _binary(data, starts).dictionary_encode()
+        del begins, starts
+        word, ids = found.indices.to_numpy(), self.words(found.dictionary)
+        ids = Ids(np.append(ids.flat, np.uint32(end)), np.append(ids.first, len(ids.flat)), np.append(ids.counts, 1))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(row_bytes, row_bytes[at] + texts_of.CHUNK_BYTES, "right")) - 1)
+            ends = first[at + 1 : to + 1] - first[at]
+            flat, bounds = ids.joined(np.insert(word[first[at] : first[to]], ends, len(ids.counts) - 1))
+            bounds = bounds[np.append(0, ends + np.arange(1, len(ends) + 1))]
+            yield from (flat[a:b] for a, b in zip(bounds[:-1], bounds[1:]))
+            at = to
 
 
 @lru_cache(1)
@@ -106,22 +177,17 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def _pieces(capacity: int, path: str):
-    end = np.array([END_ID], dtype="<u4").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(word_tokenizer(path))
-        for batch in texts_of.each_chunk(batches):
+        tokenizer = word_tokenizer(path)
+        for batch in texts_of.each_chunk(batches, most=TOGETHER_BYTES):
             out: tuple[list, ...] = ([], [], [], [], [])
-            encoded = words.encode([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
-                ids += end
-                view = memoryview(ids)
-                for piece, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = view[4 * at : 4 * (at + capacity)]
-                    for column, value in zip(out, (doc_id, piece, at, len(part) // 4, zlib.crc32(part))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.texts(batch.column("text"), END_ID)):
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    for column, value in zip(out, (doc_id, piece, at, len(part), zlib.crc32(part))):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -79,19 +79,19 @@ class Words:
             return mix((self.sums[end] - self.sums[start]) * _powers.upto(len(self.data) + 1)[1][start])
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``CHUNK_BYTES`` of text, or of one row, so that memory does not grow with the batch."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of text, or of one row, so that memory does not grow with the batch."""
     sizes = text_sizes(batch.column(column))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
 
 def _offsets_and_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     if offsets is None:
         return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
@@ -181,7 +181,7 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
 
 
-def each_chunk(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def each_chunk(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield from chunks(batch, column)
+            yield from chunks(batch, column, most)
