@@ -115,15 +115,19 @@ class MergeTable:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank_of_key[at], NONE)
 
     def merged(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of short pieces, none of them empty, as 32-bit numbers: the earliest merge first, a row each."""
-        lengths = np.array([len(p) for p in pieces])
-        ids = np.full((len(pieces), lengths.max() + 1), -1, dtype=np.int64)
-        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        """The ids of short pieces, none of them empty, as 32-bit numbers."""
+        ids, counts = self.merge(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array([len(p) for p in pieces]))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
+
+    def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of short pieces that lie one behind the other, and how many each has: the earliest merge first, a row each."""
+        ids = np.full((len(lengths), lengths.max() + 1), -1, dtype=np.int64)
         coded, last = self.byte_id[data], np.cumsum(lengths) - 1
         coded[last] = self.last_id[data[last]]
         ids[np.arange(ids.shape[1]) < lengths[:, None]] = coded
         done = np.full(ids.shape, -1, dtype="<i4")
-        rows, ranks = np.arange(len(pieces)), self._ranks(ids[:, :-1], ids[:, 1:])
+        rows, ranks = np.arange(len(lengths)), self._ranks(ids[:, :-1], ids[:, 1:])
         while len(rows):
             best = ranks.min(axis=1)
             going = best < NONE
@@ -139,8 +143,8 @@ class MergeTable:
             ids, ranks = np.take_along_axis(ids, kept, 1), np.take_along_axis(ranks, kept[:, :-1], 1)
             for left in (np.maximum(at - 1, 0), at):  # a row ends in a -1, so there is a right neighbour
                 ranks[row, left] = self._ranks(ids[row, left], ids[row, left + 1])
-        counts = (done >= 0).sum(axis=1).tolist()
-        return [r[:n].tobytes() for r, n in zip(done, counts)]
+        found = done >= 0
+        return done[found], found.sum(axis=1)
 
     def merged_by_length(self, pieces: list[tuple[bytes, str]]) -> Iterator[tuple[str, bytes]]:
         """(name, ids) of pieces with their names, those of like length together."""

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from drayline.llm import text
 
+#: Text whose features are made at once; they take some hundred times its bytes.
+FEATURE_BYTES = 1 << 18
+
 
 @dataclass
 class SparseRows:
@@ -65,7 +68,7 @@ def sampled_features(rows: DataFrame, label: str, featurize: Featurizer) -> Iter
     """(label, bucket, value) of each row, made on the executors; for a bounded sample only. Ordered by doc_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.each_chunk(batches):
+        for batch in text.each_chunk(batches, most=FEATURE_BYTES):
             f = featurize(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), text.lists(f.index.astype(np.int32), f.bounds, pa.int32()), text.lists(f.value.astype(np.float32), f.bounds, pa.float32())],

@@ -28,8 +28,9 @@ from drayline.llm import text as texts_of
 from drayline.llm.bpe import MergeTable
 from drayline.session import workspace
 
-TOGETHER_BYTES = 1 << 24
+TOGETHER_BYTES = 1 << 22
 LONGEST = 48
+MERGED = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 1
 
@@ -69,7 +70,7 @@ def _bounds(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ids:
-    """Lists of token ids: list i is ``flat[first[i] : first[i] + counts[i]]``."""
+    """Lists of token ids, or of bytes: list i is ``flat[first[i] : first[i] + counts[i]]``."""
 
     flat: np.ndarray
     first: np.ndarray
@@ -109,17 +110,22 @@ class WordTokenizer:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def pieces(self, pieces: list[bytes]) -> Ids:
+    def pieces(self, pieces: pa.BinaryArray) -> Ids:
         """Ids of distinct pieces; a space has none."""
-        place = {p: i for i, p in enumerate(pieces)}
-        out = [b""] * len(pieces)
-        short = [(p, i) for p, i in place.items() if len(p) <= LONGEST and p != b" "]
-        for i, ids in self.merges.merged_by_length(short):
-            out[i] = ids
-        long = [p for p in pieces if len(p) > LONGEST]
-        for p, ids in zip(long, self._ids(long)):
-            out[place[p]] = ids
-        return Ids.of(out)
+        data, bounds = texts_of.text_bytes(pieces, KEPT)
+        sizes = np.diff(bounds)
+        order = np.argsort(sizes, kind="stable")
+        short, long = np.split(order, [np.searchsorted(sizes[order], LONGEST, "right")])
+        flat, first, counts, many = [], np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64), 0
+        for some in (short[at : at + MERGED] for at in range(0, len(short), MERGED)):
+            ids, counts[some] = self.merges.merge(Ids(data, bounds[:-1], sizes).joined(some)[0], sizes[some])
+            first[some] = many + _bounds(counts[some])[:-1]
+            flat.append(ids.view("<u4"))
+            many += len(ids)
+        others = Ids.of(self._ids(pieces.take(pa.array(long)).to_pylist()))
+        first[long], counts[long] = many + others.first, others.counts
+        counts[(sizes == 1) & (data[np.minimum(bounds[:-1], max(0, len(data) - 1))] == 32)] = 0
+        return Ids(np.concatenate([*flat, others.flat]), first, counts)
 
     def words(self, words: pa.BinaryArray) -> Ids:
         """Ids of words, each of which may begin with a space."""
@@ -141,7 +147,7 @@ class WordTokenizer:
         begins[row_bytes[:-1]] = True
         starts = np.flatnonzero(begins)
         found = _binary(data, starts).dictionary_encode()
-        flat, bounds = self.pieces(found.dictionary.to_pylist()).joined(found.indices.to_numpy())
+        flat, bounds = self.pieces(found.dictionary).joined(found.indices.to_numpy())
         plain_bounds = bounds[np.searchsorted(starts, row_bytes)]
         others = Ids.of(self._ids(words.filter(pa.array(strange)).to_pylist()))
         first, counts = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)

@@ -100,15 +100,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     return linear.score_rows(docs, features, finish, *model, "score double, predicted int")
 
 
+def accepted(batches: Iterable[pa.RecordBatch], weights: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in text.each_chunk(batches, most=linear.FEATURE_BYTES):
+        score = linear.sigmoid(features(batch.column("text")).scores(weights, bias))
+        yield batch.filter(pa.array(score >= threshold))
+
+
 def keep_accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold. Nothing is shuffled."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.each_chunk(batches):
-            score = linear.sigmoid(features(batch.column("text")).scores(shared.value, bias))
-            yield batch.filter(pa.array(score >= threshold))
+        return accepted(batches, shared.value, bias, threshold)
 
     return docs.mapInArrow(run, docs.schema)
 

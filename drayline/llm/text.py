@@ -185,3 +185,6 @@ def each_chunk(batches: Iterable[pa.RecordBatch], column: str = "text", most: in
     for batch in batches:
         if batch.num_rows:
             yield from chunks(batch, column, most)
+    # the worker may wait for its next task, or begin one of another operator
+    batch = None
+    pa.default_memory_pool().release_unused()
