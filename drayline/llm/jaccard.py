@@ -11,8 +11,9 @@ In a cell of a few documents all are compared, by parity sketches (which never e
 their sets. The pivot of a larger cell is its most central document, the one with the largest cells. The region of a pivot
 are the documents that share such a cell with it, so two linked documents meet in a small cell or in a region. Every document is compared with its pivots; those
 linked with a pivot are one component with it and are not compared with each other. For the others the region is joined
-once more, exactly, around its pivot: symmetric differences from the pivot keep the distances between documents, so a
-linked pair shares most of its differences, and a prefix of the differences (new shingles first) finds it.
+once more, exactly, around its middle, the set of what most of its documents hold: symmetric differences from it keep the
+distances between documents. Those near the middle are linked by the triangle inequality; any other linked pair shares so many
+of its differences that prefixes of them (new shingles first) find it, and what is left after a shared one excludes most others.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drayline.llm import text
@@ -239,67 +240,99 @@ class Join:
         return large.join(pivots, "cell").where("doc <> pivot").select("cell", "pivot", "doc")
 
     def open_regions(self, pivoted: DataFrame, labels: DataFrame) -> DataFrame:
-        """(pivot, doc, component, own) of the documents with a cell in which two beside the pivot, not of the same component, may be
-        linked; ``own`` tells that the document is in the pivot's component."""
-        label = labels.withColumnRenamed("component", "label")
-        placed = pivoted.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("label", "doc")).drop("label")
-        placed = placed.join(label.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("own", F.col("component") == F.coalesce("label", "pivot")).drop("label")
+        """(pivot, doc, component) of the documents with a cell in which two beside the pivot, not of the same component, may be linked."""
+        label = labels.withColumnRenamed("component", "label").withColumnRenamed("node", "doc")
+        placed = pivoted.join(label, "doc", "left").withColumn("component", F.coalesce("label", "doc")).drop("label")
         several = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
-        return placed.join(several, "cell").select("pivot", "doc", "component", "own").distinct()
+        return placed.join(several, "cell").select("pivot", "doc", "component").distinct()
 
     def differences(self, regions: DataFrame) -> DataFrame:
-        """(pivot, element, doc, component, own, n, apart, k0...): a prefix of each document's differences from its pivot, and a short
-        sketch of its set.
-
-        With r = (1 - t) / (1 + t), a linked pair differs in at most K = r (nx + ny) shingles and so shares at least
-        (apart x + apart y - K) / 2 of its differences. A document outside the pivot's component needs apart - (1 - t) / t n
-        shared ones with any partner; one inside it needs (1 - r) / 2 apart with any outside, as those are beyond r (n + n
-        pivot) from the pivot. Where nothing needs to be shared, one of the two is within 1 of the pivot, and both carry the
-        element 0. New shingles come first in the order: edits differ, while all who lost a shingle lost the same.
-        """
-        t = self.threshold
-        r = (t.whole - t.part) / (t.whole + t.part)
+        """(centre, doc, component, n, new, lost, k0...): what each document holds beyond its pivot, what it lacks of it, and a short
+        sketch of its set. A centre is one text of one pivot."""
         short = [f"k{i}" for i in range(SHORT_WORDS)]
-        names = ["pivot", "element", "doc", "component", "own", "n", "apart", *short]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
-                found, n, apart, sketches = [], [], [], []
-                for own, x, y in zip(batch.column("own").to_pylist(), batch.column("x"), batch.column("y")):
+                new, lost, n, sketches = [], [], [], []
+                for x, y in zip(batch.column("x"), batch.column("y")):
                     mine, pivot = x.values.to_numpy(), y.values.to_numpy()
-                    new, lost = np.setdiff1d(mine, pivot, assume_unique=True), np.setdiff1d(pivot, mine, assume_unique=True)
-                    size, most = len(new) + len(lost), t.differences(len(mine))
-                    needed = max(1, int(np.ceil(size * (1 - r) / 2 - 1e-9))) if own else max(1, size - most)
-                    prefix = np.concatenate([np.sort(new), np.sort(lost)])[: size - needed + 1]
-                    if size <= 1 or (not own and size <= most):
-                        prefix = np.append(prefix, 0)
-                    found.append(prefix)
+                    new.append(np.setdiff1d(mine, pivot, assume_unique=True))
+                    lost.append(np.setdiff1d(pivot, mine, assume_unique=True))
                     n.append(len(mine))
-                    apart.append(size)
                     sketches.append(parity_sketch(text.mix(mine.view(np.uint64)), np.zeros(len(mine), dtype=np.int64), 1, SHORT_WORDS))
-                if found:
-                    times = [len(f) for f in found]
-                    columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "doc", "component", "own")), np.array(n), np.array(apart), *np.concatenate(sketches).T]
-                    pivot, *rest = (pa.array(np.repeat(c, times)) for c in columns)
-                    yield pa.RecordBatch.from_arrays([pivot, pa.array(np.concatenate(found), pa.int64()), *rest], names)
+                if n:
+                    both = [text.lists(np.concatenate(part), np.concatenate([[0], np.cumsum([len(p) for p in part])]), pa.int64()) for part in (new, lost)]
+                    columns = [*(batch.column(c) for c in ("centre", "doc", "component")), pa.array(n, pa.int64()), *both]
+                    yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, np.ascontiguousarray(np.concatenate(sketches).T))], ["centre", "doc", "component", "n", "new", "lost", *short])
 
         x, y = (self.sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("doc", "x"), ("pivot", "y")))
-        both = regions.join(x, "doc").join(y, "pivot").select("pivot", "doc", "component", "own", "x", "y")
-        return both.mapInArrow(run, "pivot long, element long, doc long, component long, own boolean, n long, apart long, " + ", ".join(f"{k} long" for k in short))
+        both = regions.join(x, "doc").join(y, "pivot").select(F.xxhash64("pivot", "y").alias("centre"), "doc", "component", "x", "y")
+        return both.mapInArrow(run, "centre long, doc long, component long, n long, new array<long>, lost array<long>, " + ", ".join(f"{k} long" for k in short))
+
+    def centred(self, apart: DataFrame) -> DataFrame:
+        """``diff``, the differences from the middle of each region in place of those from its pivot, and ``slack``.
+
+        The middle is the set that holds what more than half of the region's documents hold, or the pivot where they are even. What
+        they all differ in from the pivot, its own edits, is then no difference any more. New shingles come first, as unrelated edits
+        add different ones but may lose the same.
+        """
+        t = self.threshold
+        many = apart.groupBy("centre").agg(F.count("*").alias("many"))
+        elements = [apart.select("centre", F.lit(c == "new").alias("added"), F.explode(c).alias("element")) for c in ("new", "lost")]
+        times = elements[0].unionByName(elements[1]).groupBy("centre", "added", "element").agg(F.count("*").alias("times"))
+        often = times.join(many, "centre").where("2 * times > many").groupBy("centre")
+        often = often.agg(F.collect_list(F.when(F.col("added"), F.col("element"))).alias("put"), F.collect_list(F.when(~F.col("added"), F.col("element"))).alias("cut"))
+        none = F.array().cast("array<long>")
+        moved = apart.join(often, "centre", "left").withColumns({c: F.coalesce(c, none) for c in ("put", "cut")})
+        sides = (("new", "put", "lost", "cut"), ("lost", "cut", "new", "put"))
+        parts = [F.array_sort(F.concat(F.array_except(mine, taken), F.array_except(given, other))) for mine, taken, other, given in sides]
+        moved = moved.withColumn("diff", F.concat(*parts)).drop("new", "lost", "put", "cut")
+        return moved.withColumn("slack", F.size("diff").cast("long") * (t.whole + t.part) - F.col("n") * (t.whole - t.part))
+
+    def cores(self, centred: DataFrame) -> DataFrame:
+        """``centred`` with ``sure``, the region's document of least slack where it is of another component and linked by the triangle
+        inequality, ``inside``, whether one of the component is so linked, and ``least``, the least slack of a possible partner.
+
+        Two documents are linked if their slacks add up to 0 or less, and else only if they share as many differences as half the sum
+        asks for, in units of whole + part. The components inside are one in the end, so one of a pair is outside.
+        """
+        nearest = centred.groupBy("centre").agg(F.min(F.struct("slack", "doc", "component")).alias("first"))
+        placed = centred.join(nearest, "centre").withColumn("core", F.col("slack") + F.col("first.slack") <= 0)
+        inside = placed.where("core").select("centre", "component").distinct().withColumn("inside", F.lit(True))
+        placed = placed.join(inside, ["centre", "component"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+        outside = placed.where("not inside").groupBy("centre").agg(F.min("slack").alias("outer"))
+        placed = placed.join(outside, "centre", "left").withColumn("least", F.when(F.col("inside"), F.col("outer")).otherwise(F.col("first.slack")))
+        return placed.withColumn("sure", F.when(F.col("core") & (F.col("component") != F.col("first.component")), F.col("first.doc"))).drop("first", "core", "outer")
+
+    def prefixes(self, placed: DataFrame) -> DataFrame:
+        """(centre, element, left, few, doc, component, inside, n, apart, slack, k0...): the first differences of each document, one of
+        which it shares with any it is linked with, how many come after, and whether it is among the first for partners of more slack."""
+        unit = 2 * (self.threshold.whole + self.threshold.part)
+        some = placed.where("least is not null").withColumn("apart", F.size("diff").cast("long"))
+
+        def length(other: Column) -> Column:
+            needed = F.greatest(F.lit(1), F.ceil((F.col("slack") + other) / F.lit(unit) - 1e-9))
+            return F.greatest(F.lit(0), F.col("apart") - needed + 1)
+
+        columns = ["centre", "doc", "component", "inside", "n", "apart", "slack", *(f"k{i}" for i in range(SHORT_WORDS))]
+        first = F.slice("diff", F.lit(1), length(F.col("least")).cast("int"))
+        found = some.select(*columns, length(F.greatest("slack", "least")).alias("most"), F.posexplode(first).alias("at", "element"))
+        return found.withColumns({"left": F.col("apart") - F.col("at") - 1, "few": F.col("at") < F.col("most")}).drop("at", "most")
 
     def inner_pairs(self, prefixes: DataFrame) -> DataFrame:
-        """Pairs of different components that share an element in a region and whose distances from the pivot, by the
-        triangle inequality, and short sketches allow a link."""
+        """Pairs of different components that share a difference in a region, where their distances from its middle, short sketches and
+        the differences left after it allow a link; what a pair shares first allows all that it shares."""
         t = self.threshold
-        outside = prefixes.where("not own")
         short = [f"k{i}" for i in range(SHORT_WORDS)]
-        columns = ["doc", "component", "n", "apart", *short]
-        x = outside.select("pivot", "element", *(F.col(c).alias("x" + c) for c in columns))
-        y = prefixes.select("pivot", "element", "own", *(F.col(c).alias("y" + c) for c in columns))
+        columns = ["doc", "component", "inside", "n", "apart", "slack", "left", *short]
+        x, y = (f.select("centre", "element", *(F.col(c).alias(side + c) for c in columns)) for f, side in ((prefixes, "x"), (prefixes.where("few"), "y")))
+        once = (F.col("xslack") > F.col("yslack")) | ((F.col("xslack") == F.col("yslack")) & (F.col("xdoc") > F.col("ydoc")))
+        open_pair = (F.col("xcomponent") != F.col("ycomponent")) & ~(F.col("xinside") & F.col("yinside"))
+        enough = F.col("xslack") + F.col("yslack") <= 2 * (t.whole + t.part) * (F.least("xleft", "yleft") + 1)
         odd = [F.bit_count(F.col("x" + k).bitwiseXOR(F.col("y" + k))) for k in short]
-        apart = F.greatest(F.abs(F.col("xapart") - F.col("yapart")), sum(odd[1:], odd[0]).cast("long"))
+        apart = F.greatest(F.col("xapart") - F.col("yapart"), F.col("yapart") - F.col("xapart"), sum(odd[1:], odd[0]).cast("long"))
         near = apart * (t.whole + t.part) <= (F.col("xn") + F.col("yn")) * (t.whole - t.part)
-        met = x.join(y, ["pivot", "element"]).where((F.col("xcomponent") != F.col("ycomponent")) & (F.col("own") | (F.col("xdoc") < F.col("ydoc"))) & near)
+        met = x.join(y, ["centre", "element"]).where(once & open_pair & enough & near)
         return met.select(F.least("xdoc", "ydoc").alias("a"), F.greatest("xdoc", "ydoc").alias("b")).distinct()
 
     def run(self) -> DataFrame:
@@ -324,8 +357,11 @@ class Join:
         self.sets = self.kept(shingle_arrays(_rows(self.docs).join(ids, "doc_id"), t.words).dropDuplicates(["doc_id", "shingles"]), "sets")
         links = self.kept(self.links(self.measured(near)), "links")
         labels = components(self.spark, links)
-        prefixes = self.kept(self.differences(self.open_regions(pivoted, labels)), "differences")
-        found = self.kept(self.links(self.measured(self.possible(self.inner_pairs(prefixes)))), "inner-links")
+        apart = self.kept(self.differences(self.open_regions(pivoted, labels)), "differences")
+        placed = self.kept(self.cores(self.kept(self.centred(apart), "centred")), "placed")
+        sure = placed.where("sure is not null").select(F.least("doc", "sure").alias("a"), F.greatest("doc", "sure").alias("b")).distinct()
+        found = self.links(self.measured(self.possible(self.inner_pairs(self.prefixes(placed)))))
+        found = self.kept(found.unionByName(sure), "inner-links")
         if not found.isEmpty():
             labels = components(self.spark, links.unionByName(found))
         rep = F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id")))

@@ -109,3 +109,52 @@ def test_spared_cells_lose_no_pair():
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(pairs) > 50
     assert all(placed[a] & placed[b] for a, b in pairs)
+
+
+def one_family(seed, many):
+    """Copies of one text with few to many edits each: unrelated edits, so that a pair is as far apart as both are from the text."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(many):
+        copy = list(base)
+        for at in rng.sample(range(300), 2 + 28 * i // many):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_documents_far_from_the_middle_of_a_region_are_not_met(spark, monkeypatch):
+    docs = list(enumerate(one_family(9, 160), 1))
+    met = []
+    inner_pairs = jaccard.Join.inner_pairs
+
+    def counted(self, prefixes):
+        with monkeypatch.context() as every:
+            every.setattr(type(prefixes), "distinct", lambda df: df)
+            met.append(inner_pairs(self, prefixes).count())
+        return inner_pairs(self, prefixes)
+
+    monkeypatch.setattr(jaccard.Join, "inner_pairs", counted)
+    found = jaccard.linked_documents(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), 80, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.linked(docs, 80, 5)
+    assert 0 < met[0] < 500  # of 12720 pairs within the family
+
+
+def test_large_regions_with_several_texts_an_id(spark):
+    texts = one_family(10, 70) + one_family(11, 70) + [f"{a} {b}" for a, b in zip(one_family(12, 40), one_family(10, 40))]
+    # The texts with the fewest edits, which become pivots, share ids with others.
+    rows = [(i % 90, t) for i, t in enumerate(texts)]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for at, (_, same) in brute.linked(list(enumerate(texts)), 80, 5).items():
+        a, b = root(rows[at][0]), root(rows[same][0])
+        parent[max(a, b)] = min(a, b)
+    found = jaccard.linked_documents(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), 80, 5).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, root(i)) for i in parent} and len(found) == len(rows)
