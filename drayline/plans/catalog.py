@@ -990,17 +990,11 @@ def snapshot_profile(spark, sf):
     log.create(orders.where("o_orderdate < '1997-01-01'"))
     log.append(orders.where("o_orderdate >= '1997-01-01' AND o_orderdate < '2000-01-01'"))
     log.append(orders.where("o_orderdate >= '2000-01-01'"))
-    rows, numbers = orders.where("o_orderdate < '2000-01-01'"), ("o_orderkey", "o_custkey", "o_totalprice")
-    exact = reconcile.union_all(
-        [
-            rows.agg(
-                F.lit(c).alias("column_name"),
-                F.count_distinct(c).alias("distinct"),
-                *[(F.percentile(F.col(c), p) if c in numbers else F.lit(None).cast("double")).alias(f"p{p}") for p in (0.2, 0.3, 0.45, 0.55, 0.7, 0.8)],
-            )
-            for c in orders.columns
-        ]
-    )
+    rows, numbers = orders.where("o_orderdate < '2000-01-01'"), ["o_orderkey", "o_custkey", "o_totalprice"]
+    at = (0.2, 0.3, 0.45, 0.55, 0.7, 0.8)
+    distinct = reconcile.union_all([rows.agg(F.lit(c).alias("column_name"), F.count_distinct(c).alias("distinct")) for c in orders.columns])
+    percentiles = summary.exact_percentiles(rows, numbers, at).select("column_name", *[F.get("percentiles", F.lit(i)).alias(f"p{p}") for i, p in enumerate(at)])
+    exact = distinct.join(percentiles, "column_name", "left")
     between = [F.coalesce(F.col(f"quantile_{q}").between(F.col(f"`p{a}`"), F.col(f"`p{b}`")), F.lit(True)) for q, a, b in ((25, 0.2, 0.3), (50, 0.45, 0.55), (75, 0.7, 0.8))]
     return log.profile(2).join(exact, "column_name").select(
         "column_name",

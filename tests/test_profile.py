@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
-from drayline.operators import profile
+from drayline.operators import profile, summary
 from drayline.operators.projection import contains_top_k, ordered, row_limit, top_n
+from drayline.plans import catalog
+from drayline.session import table_path
 
 
 def table(spark, ddl, n):
@@ -66,3 +68,28 @@ def test_one_limit_for_all_sizes(spark, plan):
     assert row_limit(rows, 2_000_000).count() == 1_200_000
     text = plan(row_limit(rows, 1_000_001))
     assert "CollectLimit" in text and "Window" not in text
+
+
+def test_exact_percentiles_as_sparks_own(spark):
+    at = (0.0, 0.2, 0.25, 0.5, 0.7, 0.999, 1.0)
+    wide = spark.range(20_000).select(
+        ((F.col("id") * 7919) % 20_011).alias("whole"),
+        F.when(F.col("id") % 3 > 0, F.lit(5.5)).otherwise(F.sin("id")).alias("ties"),
+        F.when(F.col("id") % 10 == 0, F.col("id") * F.lit(1e300) * F.lit(1e300)).when(F.col("id") % 10 == 1, F.lit(float("nan"))).when(F.col("id") % 10 == 2, F.col("id") / 7).alias("odd"),
+        F.lit(None).cast("int").alias("none"),
+        F.when(F.col("id") == 3, F.lit(4)).alias("one"),
+        (F.col("id") % 2).cast("decimal(9,2)").alias("a b"),
+    )
+    for rows in (wide, wide.limit(7), wide.limit(2), wide.limit(0)):
+        got = {r.column_name: r.percentiles for r in summary.exact_percentiles(rows, rows.columns, at).collect()}
+        for c in rows.columns:
+            own = rows.agg(*[F.percentile(F.col(f"`{c}`"), p) for p in at]).first()
+            assert repr(got[c]) == repr(list(own)), c
+
+
+def test_snapshot_profile_holds_no_column_in_one_task(spark, tmp_path, plan):
+    rows = spark.sql("select id as o_orderkey, id % 97 as o_custkey, 'F' as o_orderstatus, id / 8 as o_totalprice, timestamp'1996-03-01' + make_interval(0, id % 80) as o_orderdate, '1' as o_orderpriority from range(3000)")
+    rows.write.parquet(table_path(str(tmp_path), "orders"))
+    profiled = catalog.snapshot_profile(spark, str(tmp_path))
+    assert {(r.column_name, r.distinct_close, r.quartiles_close) for r in profiled.collect()} == {(c, True, True) for c in rows.columns}
+    assert "percentile(" not in plan(profiled)
